@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,20 @@ def rows_of(batches, *names):
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
         for at in range(0, batch.num_rows, 256):
             yield from zip(*(c.slice(at, 256).to_pylist() for c in columns))
+
+
+def record_batches(rows, names, types, rows_most: int = 4096, bytes_most: int = 8 << 20):
+    """Arrow batches of an iterator of tuples; a batch ends at ``rows_most`` rows or about ``bytes_most`` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+        if len(held) == rows_most or size >= bytes_most:
+            yield _batch(held, names, types)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names, types)
+
+
+def _batch(rows, names, types):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(names))

@@ -6,7 +6,9 @@ import public_tokenizers
 
 from poolside.llm.bpe import bpe_digests
 from poolside.llm.common import table
+from poolside.llm.language_id import language_predictions
 from poolside.llm.simhash import simhash_classes
+from poolside.llm.substring_dedup import dedup_digests
 from poolside.llm.token_count import token_counts
 
 
@@ -14,6 +16,10 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -22,6 +28,10 @@ def op5_bpe(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_simhash, op5_bpe)}
+def op10_substring_dedup(spark, sf_dir):
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_simhash, op5_bpe, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
