@@ -6,6 +6,10 @@ import public_tokenizers
 
 from poolside.llm.bpe import bpe_digests
 from poolside.llm.common import table
+from poolside.llm.html_extract import extract_main_text
+from poolside.llm.license_scan import scan_digests, scan_sql
+from poolside.llm.packing import pack
+from poolside.llm.webp import media_digests
 from poolside.llm.language_id import language_predictions
 from poolside.llm.simhash import simhash_classes
 from poolside.llm.substring_dedup import dedup_digests
@@ -28,10 +32,29 @@ def op5_bpe(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_license_scan(spark, sf_dir):
+    return scan_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op8_html_extract(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_webp(spark, sf_dir):
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_simhash, op5_bpe, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_counts, op3_language_id, op4_simhash, op5_bpe, op6_license_scan, op7_packing, op8_html_extract, op9_webp, op10_substring_dedup)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": scan_sql()}
