@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from poolside.llm.bm25 import search, search_sql
 from poolside.llm.bpe import bpe_digests
 from poolside.llm.common import table
 from poolside.llm.html_extract import extract_main_text
@@ -16,6 +17,12 @@ from poolside.llm.substring_dedup import dedup_digests
 from poolside.llm.token_count import token_counts
 
 
+def op1_bm25_search(spark, sf_dir):
+    """Every document whose id is divisible by 20 asks, with its whole text, all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.filter("doc_id % 20 = 0"))
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -54,7 +61,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_language_id, op4_simhash, op5_bpe, op6_license_scan, op7_packing, op8_html_extract, op9_webp, op10_substring_dedup)
+    for f in (op1_bm25_search, op2_token_counts, op3_language_id, op4_simhash, op5_bpe, op6_license_scan, op7_packing, op8_html_extract, op9_webp, op10_substring_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_bm25_search": search_sql(), "op6_license_scan": scan_sql()}
