@@ -21,8 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from poolside.llm.common import WORD, record_batches, rows_of, text_rows
+from poolside.llm.common import WORD
 
 #: Bytes of a window, the space in front included.
 WINDOW = 24
@@ -241,25 +242,21 @@ class Labeller:
         return out
 
 
-def detect_languages(df: DataFrame, model: BiGru, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, lang_pred, score. One pass, without a shuffle."""
+def detect_languages(df: DataFrame, model: BiGru, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with lang_pred and score (in place of columns of these names). One pass, without a shuffle."""
+    df = df.drop("lang_pred", "score")
 
     def label(batches):
         labeller = Labeller(model)
-        held, size = [], 0
-        for doc, text in rows_of(batches, "id", "text"):
-            held.append((doc, text))
-            size += len(text)
-            if size > 2 << 20 or len(held) == 1024:
-                yield from zip([d for d, _ in held], labeller([t for _, t in held]))
-                held, size = [], 0
-        if held:
-            yield from zip([d for d, _ in held], labeller([t for _, t in held]))
+        for batch in batches:
+            texts = batch.schema.get_field_index(text_col)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = labeller([t or "" for t in part.column(texts).to_pylist()])
+                columns = [*part.columns, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
-    def run(batches):
-        yield from record_batches(((d, p, s) for d, (p, s) in label(batches)), (id_col, "lang_pred", "score"), (pa.int64(), pa.string(), pa.float64()))
-
-    return text_rows(df, id_col, text_col).mapInArrow(run, f"`{id_col}` long, lang_pred string, score double")
+    return df.mapInArrow(label, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -270,4 +267,4 @@ def held_out(id_col: str = "doc_id"):
 def language_predictions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> DataFrame:
     """Per row: ``id_col``, held_out, lang_pred, score; learned from the rows that aren't held out."""
     model = train_language_model(df.filter(~held_out(id_col)), id_col, text_col, lang_col, **training)
-    return detect_languages(df, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+    return detect_languages(df.select(id_col, text_col), model, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")

@@ -220,3 +220,10 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = stars(links(nodes, max_bits))
     classes = by_print.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its class, one row for each id; rows whose id is null can't be compared and stay."""
+    classes = simhash_classes(df, id_col, text_col, words, max_bits)
+    keep = staged(classes.filter(F.col(id_col) == F.col("component_id")).select(id_col))
+    return df.join(keep, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns).union(df.filter(F.col(id_col).isNull()))

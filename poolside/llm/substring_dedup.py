@@ -172,13 +172,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts that lose all their words become empty.
     """
-    keyed = staged(df.withColumn("_own", F.monotonically_increasing_id()))
-    # row numbers stand for rows: an id can be null or repeat, so the text's hash goes with it
-    _, decisions, hit = repeats(keyed, id_col, text_col, width)
+    _, decisions, hit = repeats(df, id_col, text_col, width)
+    # an id can repeat, so the text's hash goes with it
     cut = decisions.filter("twin").select("id", "whole", F.lit("").alias("_kept"))
     cut = cut.union(decisions.join(left_of(hit), "judge").select("id", "whole", F.col("kept").alias("_kept"))).distinct()
     words = F.array_join(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), " ")
-    keyed = keyed.withColumn("_id", F.col(id_col).cast("long")).withColumn("_whole", F.unhex(F.sha2(words.cast("binary"), 256)))
+    keyed = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_whole", F.unhex(F.sha2(words.cast("binary"), 256)))
     out = keyed.join(cut.select(F.col("id").alias("_id"), F.col("whole").alias("_whole"), "_kept"), ["_id", "_whole"], "left")
     return out.withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*df.columns)
 
