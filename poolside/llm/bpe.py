@@ -19,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from poolside.llm.common import rows_of, text_rows
+from poolside.llm.common import in_groups, record_batches, rows_of, text_rows
 
 #: Entries that a worker's memo of pieces or words holds; twice as many at most.
-MEMO = 250_000
+MEMO = 400_000
 
 
 class Vocabulary:
@@ -154,49 +154,141 @@ class PrefixTable:
         return out[::-1]
 
 
+class PrefixTables:
+    """The prefix tables of many short byte strings at once: one step fills an entry of all of them."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for token, rank in vocabulary.ranks.items():
+            by_length.setdefault(len(token), []).append((int.from_bytes(token[-8:], "big"), rank))
+        #: By length, the last 8 bytes of tokens as sorted numbers, and the tokens.
+        self.keys = {}
+        for n, found in sorted(by_length.items(), reverse=True):
+            keys, ranks = zip(*sorted(found))
+            self.keys[n] = np.array(keys, np.uint64), np.array(ranks, np.int64)
+        self.sizes = np.array([len(t) for t in vocabulary.tokens], np.int64)
+
+    def fits(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each pair (left << 32 | right) fit side by side."""
+        distinct, index = np.unique(pairs, return_inverse=True)
+        known, found = self.vocabulary.known, []
+        if len(known) > 1_000_000:
+            known.clear()
+        for pair in distinct.tolist():
+            ok = known.get(pair)
+            if ok is None:
+                ok = known[pair] = self.vocabulary.fits(pair >> 32, pair & 0xFFFFFFFF)
+            found.append(ok)
+        return np.array(found, bool)[index]
+
+    def encode(self, strings: list[bytes]) -> list[bytes]:
+        """Ids of each string, 4 little-endian bytes each."""
+        if not strings:
+            return []
+        order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
+        sizes = np.array([len(strings[i]) for i in order])
+        longest = int(sizes[0])
+        data = np.zeros((len(order), longest), np.uint8)
+        data[np.arange(longest) < sizes[:, None]] = np.frombuffer(b"".join([strings[i] for i in order]), np.uint8)
+        last, tail = np.full((len(order), longest + 1), -1, np.int64), np.zeros(len(order), np.uint64)
+        for at in range(1, longest + 1):
+            live = int(np.searchsorted(-sizes, -at, side="right"))
+            tail = tail[:live] << np.uint64(8) | data[:live, at - 1]
+            left = np.arange(live)
+            for n, (keys, ranks) in self.keys.items():
+                if n > at:
+                    continue
+                if not len(left):
+                    break
+                key = tail[left] & np.uint64((1 << 8 * min(n, 8)) - 1)
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[place] == key
+                rows, tokens = left[hit], ranks[place[hit]]
+                if n > 8 and len(rows):  # several tokens can have these last bytes: look up the whole
+                    whole = [self.vocabulary.ranks.get(data[r, at - n : at].tobytes(), -1) for r in rows.tolist()]
+                    tokens = np.array(whole, np.int64)
+                    rows, tokens = rows[tokens >= 0], tokens[tokens >= 0]
+                if n < at and len(rows):
+                    ok = self.fits(last[rows, at - n] << 32 | tokens)
+                    rows, tokens = rows[ok], tokens[ok]
+                if len(rows):
+                    last[rows, at] = tokens
+                    left = left[last[left, at] < 0]
+            if len(left):
+                raise ValueError("the vocabulary lacks a byte")
+        # walk all strings backwards, then write their ids forwards
+        at, walked = sizes.copy(), []
+        rows = np.flatnonzero(at)
+        while len(rows):
+            tokens = last[rows, at[rows]]
+            walked.append((rows, tokens))
+            at[rows] -= self.sizes[tokens]
+            rows = rows[at[rows] > 0]
+        counts = np.zeros(len(order), np.int64)
+        for rows, _ in walked:
+            counts[rows] += 1
+        ends = np.cumsum(counts)
+        flat = np.empty(int(ends[-1]), "<u4")
+        for step, (rows, tokens) in enumerate(walked, 1):
+            flat[ends[rows] - step] = tokens
+        ids, out = flat.tobytes(), [b""] * len(order)
+        for i, a, b in zip(order, (4 * (ends - counts)).tolist(), (4 * ends).tolist()):
+            out[i] = ids[a:b]
+        return out
+
+
 class Encoder:
-    """Encodes whole texts; each match of ``pattern`` is encoded by a prefix table of its own."""
+    """Encodes whole texts; each match of ``pattern`` is encoded by a prefix table. Words met before are remembered, up to a bound."""
 
     #: Between two neighbours that aren't white space, a single space always starts a match.
     _RUN = regex.compile(r"\s\s")
+    #: Matches of up to so many bytes are encoded together.
+    _SHORT = 48
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        self.vocabulary, self.pattern, self.tables = vocabulary, regex.compile(pattern), PrefixTables(vocabulary)
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def _chunk(self, text: str) -> bytes:
-        """Ids of a text, 4 little-endian bytes each."""
-        found = self._new.get(text)
-        if found is None:
-            found = self._old.get(text)
-            if found is None:
-                pieces = self.pattern.findall(text)
-                if len(pieces) > 1:
-                    found = b"".join([self._chunk(piece) for piece in pieces])
-                else:
-                    data = text.encode("utf-8", "surrogatepass")
-                    whole = self.vocabulary.ranks.get(data)
-                    ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
-                    found = np.array(ids, "<u4").tobytes()
-            if len(text) <= 64:
-                if len(self._new) >= MEMO:
-                    self._old, self._new = self._new, {}
-                self._new[text] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, 4 little-endian bytes each.
-
-        Without runs of white space, the matches never cross a single space, so words can be looked up.
-        """
+    def _pieces(self, text: str) -> list[str]:
+        """A text's matches; without runs of white space, they never cross a single space, so words (of one match or more) do too."""
         if self._RUN.search(text):
-            pieces = self.pattern.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + word for word in rest]]
-        get, chunk = self._new.get, self._chunk
-        return b"".join([get(p) or chunk(p) for p in pieces])
+            return self.pattern.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + word for word in rest]]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word, 4 little-endian bytes each."""
+        find = self.pattern.findall
+        matches = {w: find(w) for w in words}
+        pieces = list({p for found in matches.values() for p in found})
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        short = [d for d in data if len(d) <= self._SHORT]
+        coded = dict(zip(short, self.tables.encode(short)))
+        for d in data:
+            if len(d) > self._SHORT:
+                coded[d] = np.array(PrefixTable(self.vocabulary, d).tokens(), "<u4").tobytes()
+        of = {p: coded[d] for p, d in zip(pieces, data)}
+        return {w: of[found[0]] if len(found) == 1 else b"".join([of[p] for p in found]) for w, found in matches.items()}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, 4 little-endian bytes each."""
+        pieces = [self._pieces(t) for t in texts]
+        new, old, known, missing = self._new, self._old, {}, []
+        for w in {p for found in pieces for p in found}:
+            ids = new.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    missing.append(w)
+                    continue
+            known[w] = ids
+        known |= self._learn(missing)
+        if len(new) + len(known) > MEMO:
+            self._old, self._new = new, {}
+        self._new.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        return [b"".join([known[p] for p in found]) for found in pieces]
 
 
 @lru_cache(maxsize=1)
@@ -204,50 +296,35 @@ def encoder_of(path: str, pattern: str) -> Encoder:
     return Encoder(Vocabulary.load(path), pattern)
 
 
-def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ids (binary: 4 little-endian bytes each) and decoded (binary: the bytes of these ids)."""
+def encoded(batches, ranks_path: str, pattern: str):
+    """(id, ids) of rows (id, text), some texts at a time."""
+    encoder = encoder_of(ranks_path, pattern)
+    for group in in_groups(rows_of(batches, "id", "text"), lambda r: len(r[1]), 2 << 20):
+        yield from zip([doc for doc, _ in group], encoder.encode([text for _, text in group]))
 
-    def encode(batches):
-        encoder = encoder_of(ranks_path, pattern)
-        for doc, ids in ((doc, encoder.encode(text)) for doc, text in rows_of(batches, "id", "text")):
-            yield doc, ids, encoder.vocabulary.decode(np.frombuffer(ids, "<u4").tolist())
 
-    def as_batches(batches):
-        rows, size = [], 0
-        for row in encode(batches):
-            rows.append(row)
-            size += len(row[1]) + len(row[2])
-            if size > 8 << 20:
-                yield batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield batch(rows)
+def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ids (binary: 4 little-endian bytes each) and decoded (binary: the bytes of these ids)."""
 
-    def batch(rows):
-        columns = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=[id_col, "ids", "decoded"])
+    def run(batches):
+        decode = encoder_of(ranks_path, pattern).vocabulary.decode
+        rows = ((doc, ids, decode(np.frombuffer(ids, "<u4").tolist())) for doc, ids in encoded(batches, ranks_path, pattern))
+        yield from record_batches(rows, (id_col, "ids", "decoded"), (pa.int64(), pa.binary(), pa.binary()))
 
-    return text_rows(df, id_col, text_col).mapInArrow(as_batches, f"`{id_col}` long, ids binary, decoded binary")
+    return text_rows(df, id_col, text_col).mapInArrow(run, f"`{id_col}` long, ids binary, decoded binary")
 
 
 def bpe_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_tokens, ids_sha256, decoded_sha256; the ids themselves don't leave the task."""
 
-    def digest(batches):
-        encoder = encoder_of(ranks_path, pattern)
-        rows = []
-        for doc, text in rows_of(batches, "id", "text"):
-            ids = encoder.encode(text)
-            back = encoder.vocabulary.decode(np.frombuffer(ids, "<u4").tolist())
-            rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-            if len(rows) == 4096:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
-
-    def batch(rows):
+    def run(batches):
+        def rows():
+            decode = encoder_of(ranks_path, pattern).vocabulary.decode
+            for doc, ids in encoded(batches, ranks_path, pattern):
+                back = decode(np.frombuffer(ids, "<u4").tolist())
+                yield doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+
         types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        yield from record_batches(rows(), (id_col, "n_tokens", "ids_sha256", "decoded_sha256"), types)
 
-    return text_rows(df, id_col, text_col).mapInArrow(digest, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_rows(df, id_col, text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -68,3 +68,16 @@ def record_batches(rows, names, types, rows_most: int = 4096, bytes_most: int =
 
 def _batch(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(names))
+
+
+def in_groups(rows, size_of, most: int):
+    """Lists of rows of ``most`` in size, or a row more."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += size_of(row)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,16 @@ def encoding_of(path: str, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A longer run of white space would overflow the stack of tiktoken's own splitting.
+RUN = regex.compile(r"\s{500}")
+
+
+def ids_of(encoding, pattern, text: str) -> list[int]:
+    if RUN.search(text):
+        return [i for piece in pattern.findall(text) for i in encoding._encode_single_piece(piece)]
+    return encoding.encode_ordinary(text)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids."""
     first = n % capacity or capacity
@@ -66,9 +77,9 @@ def pieces(df: DataFrame, tokenizer: str, pattern: str, id_col: str, text_col: s
     """key (a number for each piece), id, piece, start, length, crc."""
 
     def tokenise(batches):
-        encoding, key = encoding_of(tokenizer, pattern), TaskContext.get().partitionId() << 40
+        encoding, split, key = encoding_of(tokenizer, pattern), regex.compile(pattern), TaskContext.get().partitionId() << 40
         for doc, text in rows_of(batches, "id", "text"):
-            ids = np.array([*encoding.encode_ordinary(text), end_id], "<u4")
+            ids = np.array([*ids_of(encoding, split, text), end_id], "<u4")
             for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                 yield key, doc, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())
                 key += 1
