@@ -12,8 +12,8 @@ sequence also starts in a document of a smaller id; windows are judged on the in
 4. Locate: a passage and the documents' regions around its anchors meet in the anchors' cells. A shard is a
    slice of a cell's passages with a slice of its regions, so no shard grows with a frequent passage. In each,
    an Aho-Corasick automaton over words has a phrase of every passage per ``width - phrase + 1`` words (so each
-   window holds one in full); regions stream through it, and hits are extended word by word, by comparison
-   with the passage. Runs of ``width`` words are removed.
+   window holds one in full); regions stream through it. Windows around hits are looked up among the passages'
+   windows and compared with them word by word. What they cover is removed.
 
 Null texts and texts of fewer words lose nothing. Rows whose id is null are kept whole and judge no other.
 Rows that repeat an id are judged each by itself, and never against each other.
@@ -227,7 +227,7 @@ def located(suspects: DataFrame, passages: DataFrame, width: int) -> DataFrame:
     where = [F.when(F.col("passage"), F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("slice", "own", "other"), ("stream", "other", "own"))]
     dealt = dealt.select("cell", *where, (~F.col("passage")).alias("region"), "row", "id", "start", "words")
     key = ["cell", "slice", "stream"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "region").mapInArrow(lambda b: stream(b, width), "row long, start long, end long").distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key, "region").mapInArrow(lambda b: stream(b, width), "row long, start long, end long")
 
 
 def cell_parts(suspects: DataFrame, width: int) -> DataFrame:
@@ -256,34 +256,50 @@ def cell_parts(suspects: DataFrame, width: int) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Phrases of passages, over words as 32-bit numbers."""
+    """Phrases of passages, over words as 32-bit numbers, and the passages' windows by hash."""
 
     def __init__(self, passages: list[tuple[int, np.ndarray]], width: int):
         """passages: id and word hashes."""
-        self.passages, self.width = passages, width
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, (_, h) in enumerate(passages):
+        self.width = width
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for _, h in passages:
             short = (h & np.uint64(0x7FFFFFFF)).tolist()
             for at in range(0, len(short) - PHRASE + 1, width - PHRASE + 1):
-                places.setdefault(tuple(short[at : at + PHRASE]), []).append((k, at))
-        for phrase, found in places.items():
-            self.automaton.add_word(phrase, found)
+                self.automaton.add_word(tuple(short[at : at + PHRASE]))
         self.automaton.make_automaton()
+        self.words = np.concatenate([h for _, h in passages])
+        starts = np.cumsum([0, *(len(h) for _, h in passages)])
+        keys = np.concatenate([rolling(h, width) for _, h in passages])
+        counts = [len(h) - width + 1 for _, h in passages]
+        at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, counts)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.ids = keys[order], at[order], np.repeat([doc for doc, _ in passages], counts)[order]
 
     def spans(self, doc: int, h: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of at least ``width`` words of ``h`` that a passage of a smaller id has."""
-        found, seen = [], set()
-        for end, places in self.automaton.iter(tuple((h & np.uint64(0x7FFFFFFF)).tolist())):
-            for k, at in places:
-                shift = end - PHRASE + 1 - at
-                other, passage = self.passages[k]
-                if other >= doc or (k, shift) in seen:
-                    continue
-                seen.add((k, shift))
-                low, high = max(0, shift), min(len(h), shift + len(passage))
-                found += [(low + a, low + b) for a, b in runs(h[low:high] == passage[low - shift : high - shift]) if b - a >= self.width]
-        return found
+        """Runs of words of ``h`` that are covered by windows which a passage of a smaller id has."""
+        n = len(h) - self.width + 1
+        ends = [end for end, _ in self.automaton.iter(tuple((h & np.uint64(0x7FFFFFFF)).tolist()))]
+        if not ends or n < 1:
+            return []
+        # the windows that hold a phrase found: they begin up to width - PHRASE words before it
+        first = np.array(ends) - PHRASE + 1
+        edges = np.zeros(n + 1, np.int64)
+        np.add.at(edges, np.maximum(first - self.width + PHRASE, 0), 1)
+        np.add.at(edges, np.minimum(first + 1, n), -1)
+        maybe = np.flatnonzero(np.cumsum(edges)[:n] > 0)
+        key = rolling(h, self.width)[maybe]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = (self.keys[place] == key) & (self.ids[place] < doc)
+        start, other = maybe[hit], self.at[place[hit]]
+        # hits that go on in the same passage are compared with it word by word, as one run
+        cut = np.flatnonzero((np.diff(start) != 1) | (np.diff(other) != 1)) + 1
+        found = np.zeros(n, bool)
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(start)]):
+            if a < b:
+                i, j, size = int(start[a]), int(other[a]), b - a + self.width - 1
+                same = h[i : i + size] == self.words[j : j + size]
+                found[i : i + b - a] = same.all() or [bool(same[k : k + self.width].all()) for k in range(b - a)]
+        return [(a, b + self.width - 1) for a, b in runs(found)]
 
 
 def stream(batches, width):
