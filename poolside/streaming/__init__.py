@@ -1,0 +1 @@
+"""The domain has no streams; imports that come again are jobs of their own (see README)."""
