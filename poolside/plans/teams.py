@@ -83,5 +83,5 @@ LEFT JOIN (SELECT nationality_id, count(*) AS athletes, count(*) FILTER (sex = '
 fit AS (SELECT swimmer_id, event_id, pool, regr_slope(best::DOUBLE, year::DOUBLE) AS slope, max(year) AS last_year, arg_max(best, year) AS best, count(*) AS seasons
 FROM (SELECT *, row_number() OVER (PARTITION BY swimmer_id, event_id, pool ORDER BY year DESC) AS k FROM seasons) WHERE k <= 4 GROUP BY ALL)
 SELECT *, CASE WHEN delta < -25 THEN 'improving' WHEN delta > 25 THEN 'declining' ELSE 'steady' END AS trend
-FROM (SELECT swimmer_id, event_id, pool, seasons, last_year, best, round(greatest(-0.08 * best, least(0.08 * best, slope)), 4) AS delta FROM fit WHERE seasons >= 2 AND last_year >= {THIS_YEAR - 2} AND slope IS NOT NULL)""",
+FROM (SELECT swimmer_id, event_id, pool, seasons, last_year, best, round(greatest(-0.08 * best, least(0.08 * best, slope)), 4) + 0.0 AS delta FROM fit WHERE seasons >= 2 AND last_year >= {THIS_YEAR - 2} AND slope IS NOT NULL)""",
 }
