@@ -16,14 +16,15 @@ from poolside.llm.packing import pack
 from poolside.llm.simhash import one_of_each
 from poolside.llm.substring_dedup import substring_dedup
 
-#: A text whose best language has less than this share of its positions is in none of the languages learned.
-LEAST_SCORE = 0.3
+#: A text of ``JUDGED`` characters or more whose best language has less than this share of its positions is in none of the languages learned.
+LEAST_SCORE, JUDGED = 0.3, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, or in none of the languages that the others are labelled with."""
     model = train_language_model(docs.filter(~held_out()))
-    kept = detect_languages(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    foreign = (F.col("score") < LEAST_SCORE) & (F.length("text") >= JUDGED)
+    kept = detect_languages(docs, model).filter((F.col("lang_pred") != "und") & ~foreign)
     return kept.select(*docs.columns)
 
 
