@@ -9,8 +9,6 @@ from poolside.operators.filters import deciding_round
 from poolside.operators.ranking import top_n
 from poolside.sources.tpch import Meets
 
-DAY = F.unix_date("date")
-
 
 def totals(swims: DataFrame) -> DataFrame:
     return swims.groupBy("meet_id").agg(
@@ -49,7 +47,7 @@ def most_improved(swims: DataFrame) -> DataFrame:
     """
     keys = ["swimmer_id", "event_id", "pool"]
     best = swims.filter(~F.col("is_hc") & (F.col("time_cs") > 0)).groupBy("meet_id", "date", *keys).agg(F.min("time_cs").alias("time_cs"))
-    before = Window.partitionBy(*keys).orderBy(DAY).rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(Window.unboundedPreceding, -1)
     with_last = best.withColumn("before_cs", F.min("time_cs").over(before)).withColumn("gain_cs", F.col("before_cs") - F.col("time_cs"))
     improved = top_n(with_last.filter("gain_cs > 0"), ["meet_id"], 30, F.desc("gain_cs"), "time_cs", "swimmer_id", "event_id")
     new = top_n(with_last.filter("before_cs is null"), ["meet_id"], 20, "swimmer_id", "event_id", "time_cs")

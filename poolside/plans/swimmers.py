@@ -11,13 +11,11 @@ from poolside.operators.ranking import personal_bests, top_n
 from poolside.refdata import BASE_TIMES, EVENTS, MOST_POINTS, TIERS, base_seconds
 from poolside.sources.tpch import Meets, sql_values
 
-LEGS = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("swimmer_id") + i)
-
 
 def events_of(m: Meets) -> DataFrame:
     """Best time and number of swims by event and pool; a relay's legs count for the athletes that they name, where they have none of their own."""
     own = m.swims.groupBy("swimmer_id", "event_id", "pool").agg(F.min("time_cs").alias("best"), F.count("*").alias("swims"))
-    legs = m.swims.filter("is_relay_team").withColumn("athlete", F.explode(LEGS)).groupBy(F.col("athlete").alias("swimmer_id"), "event_id", "pool").agg(F.min("time_cs").alias("best"), F.count("*").alias("swims"))
+    legs = m.swims.filter("is_relay_team").withColumn("athlete", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("swimmer_id") + i))).groupBy(F.col("athlete").alias("swimmer_id"), "event_id", "pool").agg(F.min("time_cs").alias("best"), F.count("*").alias("swims"))
     legs = legs.join(m.swimmers.select("swimmer_id"), "swimmer_id", "left_semi").join(own.select("swimmer_id", "event_id", "pool"), ["swimmer_id", "event_id", "pool"], "left_anti")
     return own.withColumn("as_leg", F.lit(False)).unionByName(legs.withColumn("as_leg", F.lit(True)))
 
