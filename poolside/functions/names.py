@@ -39,9 +39,3 @@ def sorted_key(name: Column) -> Column:
 
 def one_edit_apart(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) <= 1
-
-
-def category_band(category: Column) -> Column:
-    """The age band of a category; broad categories have none."""
-    upper = F.upper(F.trim(F.coalesce(category, F.lit(""))))
-    return F.when(upper.isin("", "OPEN", "CAT. GÉNÉRALE", "GENERAL", "TOUTES CATÉGORIES"), F.lit("")).otherwise(upper)

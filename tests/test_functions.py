@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolside import refdata
-from poolside.functions import names, times
+from poolside.functions import events, names, times
 
 
 def value(spark, column):
@@ -47,7 +47,6 @@ def test_match_keys(spark):
     assert value(spark, names.match_key(F.lit("Ben-Ali,  Élodie"))) == "BEN ALI ÉLODIE"
     assert value(spark, names.sorted_key(F.lit("Elodie BEN ali"))) == "ALI BEN ELODIE"
     assert value(spark, names.one_edit_apart(F.lit("GRENOBLE"), F.lit("GRENOBsLE")))
-    assert value(spark, names.category_band(F.lit("Open"))) == ""
 
 
 def test_age(spark):
@@ -55,3 +54,37 @@ def test_age(spark):
     assert value(spark, times.age_on(F.lit("2000-06-16").cast("date"), F.lit(None).cast("int"), on)) == 19
     assert value(spark, times.age_on(F.lit("2000-06-15").cast("date"), F.lit(None).cast("int"), on)) == 20
     assert value(spark, times.age_on(F.lit(None).cast("date"), F.lit(2001), on)) == 19
+
+
+@pytest.mark.parametrize(
+    ("function", "text", "expected"),
+    [
+        (events.stroke, "NAGE LIBRE", "Freestyle"), (events.stroke, "4 NAGES", "Individual Medley"), (events.stroke, "4 na ges", "Individual Medley"), (events.stroke, "Brasse", "Breaststroke"),
+        (events.stroke, "Dos", "Backstroke"), (events.stroke, "Papillon", "Butterfly"), (events.stroke, " Diving ", "Diving"),
+        (events.distance, "4x200m Freestyle", 800), (events.distance, "4 × 50 NL", 200), (events.distance, "100 metres dos", 100), (events.distance, "200 libre", 200), (events.distance, "final", 0),
+        (events.gender, "Women 50m", "F"), (events.gender, "Messieurs", "M"), (events.gender, "Mixed", ""),
+        (events.category, "JUNIORS SENIORS", "Seniors/Juniors"), (events.category, "MINIMES", "Minimes"), (events.category, "toutes  catégories", "Toutes Catégories"), (events.category, "foo juniors", "Foo Juniors"), (events.category, None, ""),
+        (events.source_rank, "1er", 1), (events.source_rank, "DSQ", None), (events.source_rank, "0", None), (events.band, "Open", ""), (events.band, "Cadets", "Cadets"),
+        (events.relay_name, "4x100 M Freestyle Relay Men", "4x100 M Freestyle Relay"), (events.relay_name, "4×100 M Medley Relay", "4x100 M Medley Relay"), (events.relay_name, "4x50 M Medley Relay Mixed", "4x50 M Medley Relay Mixed"),
+    ],
+)
+def test_book_text(spark, function, text, expected):
+    assert value(spark, function(F.lit(text).cast("string"))) == expected
+
+
+@pytest.mark.parametrize(("metres", "expected"), [(4100, 400), (450, 200), (800, 800), (999, 0)])
+def test_relay_distance(spark, metres, expected):
+    assert value(spark, events.relay_distance(F.lit(metres))) == expected
+
+
+def test_event_name(spark):
+    assert value(spark, events.event_name(F.lit(100), F.lit("Freestyle"), F.lit(False))) == "100 M Freestyle"
+    assert value(spark, events.event_name(F.lit(400), F.lit("Individual Medley"), F.lit(True))) == "4x100 M Medley Relay"
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "conflict"),
+    [("Cadets", "Minimes", True), ("13-14", "14-15", False), ("12-13", "19+", True), ("17-18", "18+", False), ("Cadets", "Open", False), ("Juniors", "Seniors/Juniors", False), ("foo", "Cadets", False)],
+)
+def test_bands(spark, a, b, conflict):
+    assert value(spark, events.bands_conflict(F.lit(a), F.lit(b))) == conflict

@@ -108,3 +108,25 @@ def test_query_equals_sql(spark, duck, name):
     columns = sorted(df.columns)
     sql = duck.execute(f"SELECT {', '.join(columns)} FROM ({plans.oracle_sql()[name]})").fetchall()
     assert rows_of(df.select(*columns).collect()) == rows_of(sql)
+
+
+def test_club_spellings(spark):
+    from poolside.operators.clubs import canonical_clubs
+
+    rows = [(1, "STADE OLYMPIQUE CHAMBÉRY", 46), (1, "STADE OLYMPIQUE CHAMBsÉRY", 1), (1, "STADE OLYMPIQU CHAMBÉRY", 1), (1, "Stade-Olympique Chambéry", 1), (1, "OLYMPIC NICE NATATION", 59), (1, "OLYMPIC NICE NATAsTION", 2), (1, "CA", 1)]
+    got = {r["club"]: r["canonical"] for r in canonical_clubs(spark.createDataFrame(rows, "meet_id int, club string, n long")).collect()}
+    assert set(got.values()) == {"STADE OLYMPIQUE CHAMBÉRY", "OLYMPIC NICE NATATION", "CA"}
+
+
+def test_tables(spark):
+    from poolside.sources import tables
+
+    old, new = (spark.createDataFrame(r, "k int, t int") for r in ([(1, 50), (2, 60)], [(2, 65), (3, 70)]))
+    assert sorted(map(tuple, tables.upserted(old, new, ["k"]).collect())) == [(1, 50), (2, 65), (3, 70)]
+    assert sorted(map(tuple, tables.upserted(old, new, ["k"], F.col("t")).collect())) == [(1, 50), (2, 60), (3, 70)]
+    left, hanging = tables.deleted(old, new, "k", {"new": (new, "k")})
+    assert [r["k"] for r in left.collect()] == [1] and hanging["new"].collect() == []
+    assert [r["k"] for r in tables.unused(old, "k", [(new, "k")]).collect()] == [1]
+    people = spark.createDataFrame([(1, "", 2001), (2, "Club", 1999)], "id int, club string, year int")
+    merges = spark.createDataFrame([(2, 1)], "old int, kept int")
+    assert [tuple(r) for r in tables.merged_rows(people, "id", merges, ["club"]).collect()] == [(1, "Club", 2001)]
