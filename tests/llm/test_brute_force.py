@@ -12,7 +12,9 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
+import tokenizers
 import xxhash
 
 from poolside.llm import bm25, bpe, html_extract, language_id, license_scan, packing, simhash, substring_dedup, token_count, webp
@@ -181,6 +183,15 @@ def test_licences(docs, spark):
     assert sorted(sql) == sorted(tuple(r[c] for c in ("doc_id", "n_sentences", "sentence_ids", "licences")) for r in license_scan.scan_digests(df).collect())
 
 
+def test_packing_ids_are_tokenizers(docs):
+    own = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    encoding, pattern = packing.encoding_of(P.path("byte_bpe_50k.json"), P.PATTERN), regex.compile(P.PATTERN)
+    odd = [" " * 3000 + "x\n" * 3, "a" * 20_000, " \n" * 900 + "end", "<|endoftext|> é中", "don't  WE'LL\t1"]
+    for t in [t or "" for _, t in docs[0][:60]] + odd:
+        assert packing.ids_of(encoding, pattern, t) == own.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("share", [4096, 16])
 def test_packing(docs, monkeypatch, share):
     rows, df = docs
