@@ -230,6 +230,13 @@ def test_html_article_and_host_boilerplate(spark):
     assert got[300] == ("", 0) and got[301][0] == html.unescape("text &lt;1&gt;")
 
 
+def test_html_marks():
+    read = lambda page: html_extract.main_texts([page])[0]
+    assert read("<main><article class='post comments-open'><p>a</p><section class='comment-list'><article class='comment'>no</article></section></article></main>") == "a"
+    assert read("<header>no</header><article><header><h1>t</h1></header><aside>no</aside><form>no</form><p hidden>no</p><p>a<p>b</article><div>no</div>") == "t\na\nb"
+    assert read("<article><!-- <p>no --><ul><li>x<li>y</ul>tail &eacute;&#33;</article>") == "x\ny\ntail é!"
+
+
 def test_suffix_array_coverage():
     rng = np.random.default_rng(1)
     streams = [rng.integers(1, 4, rng.integers(0, 60)) for _ in range(12)]
