@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolside.plans import clean, medals, meets, rankings, swimmers, teams
+from poolside.plans import clean, lists, medals, meets, rankings, swimmers, teams
 from poolside.sources.tpch import SWIMS_SQL, Meets
 
-MODULES = (rankings, medals, meets, swimmers, teams, clean)
+MODULES = (rankings, medals, meets, swimmers, teams, clean, lists)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
