@@ -1,8 +1,10 @@
 """Licence scans by sentence rules (op6), in DataFrame functions only.
 
-1. A text is cut into sentences (after ``.``, ``!`` or ``?`` and white space, and at line ends), normalised:
-   A-Z in lower case, runs of anything but a-z and 0-9 one space.
-2. Sentences that licences are known by are mapped to identifiers; the others are left out.
+1. A text is cut into segments (after ``.``, ``!`` or ``?`` and white space, after ``:`` at a line's end, and at
+   blank lines, those of comment marks alone too), and these into lines. Lines are normalised: A-Z in lower case,
+   runs of anything but a-z and 0-9 one space, so that comment marks go.
+2. What licences are known by is mapped to identifiers, the rest is left out: the longest known sentence that the
+   last lines of a segment make up (a wrapped one), and known lines before it (titles), in order.
 3. The identifiers, in order, are matched against ordered rules: a rule is a licence and the identifiers that
    must follow each other. Longer rules come first, and what a rule has matched is taken out.
 
@@ -19,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SENTENCE_END = r"[.!?][ \t\r\n]+|[\r\n]+"
+#: Where a sentence that goes on over line ends is over. Blank lines may hold comment marks.
+SEGMENT_END = r"[.!?][ \t\n]+|:[ \t]*\n|\n[ \t*#/;%-]*\n"
 
 # Sentences of the licences' published texts and of the notices that name them.
 SENTENCES = {
@@ -119,17 +122,34 @@ def rule_keys() -> list[tuple[str, str]]:
     return [(name, " " + "  ".join(ids.split()) + " ") for name, ids in RULES]
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, without empty ones."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SENTENCE_END)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+def lines(text: Column) -> Column:
+    """The normalised lines of a text in lower case, without empty ones."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+
+
+def segment_ids(known: Column, parts: Column) -> Column:
+    """The identifiers in a segment's lines, with nulls for other lines."""
+    longest = max(len(s.split()) for s in known_sentences())  # a line has a word at least
+    last = lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), " ")
+    sizes = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.least(F.size(parts), F.lit(longest)))).otherwise(F.array().cast("array<int>"))
+    wrapped = F.coalesce(F.array_max(F.filter(sizes, lambda k: F.try_element_at(known, last(k)).isNotNull())), F.lit(0))
+    # a list of one, so that it is found once
+    return F.flatten(
+        F.transform(
+            F.array(wrapped),
+            lambda n: F.concat(F.transform(F.slice(parts, F.lit(1), F.size(parts) - n), lambda s: F.try_element_at(known, s)), F.when(n > 0, F.array(F.try_element_at(known, last(n)))).otherwise(F.array().cast("array<string>"))),
+        )
+    )
 
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, n_sentences, sentence_ids (those known, in order) and licences (matched, in the rules' order)."""
+    """Per row: ``id_col``, n_sentences (parts between sentence and line ends), sentence_ids (those known, in order) and licences (matched, in the rules' order)."""
     known = F.create_map(*(F.lit(x) for pair in known_sentences().items() for x in pair))
-    at = df.select(F.col(id_col), sentences(F.col(text_col)).alias("_s"))
-    at = at.select(id_col, F.size("_s").cast("long").alias("n_sentences"), F.filter(F.transform("_s", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull()).alias("sentence_ids"))
+    low = F.replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit("\r\n"), F.lit("\n"))
+    low = F.translate(low, "\r", "\n")
+    segments = F.transform(F.split(low, SEGMENT_END), lambda s: lines(s))
+    at = df.select(F.col(id_col), segments.alias("_s"))
+    at = at.select(id_col, F.aggregate("_s", F.lit(0).cast("long"), lambda n, s: n + F.size(s)).alias("n_sentences"), F.filter(F.flatten(F.transform("_s", lambda s: segment_ids(known, s))), lambda i: i.isNotNull()).alias("sentence_ids"))
     rules = F.array(*(F.struct(F.lit(name).alias("licence"), F.lit(key).alias("ids")) for name, key in rule_keys()))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
     found = F.aggregate(

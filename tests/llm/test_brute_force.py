@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -183,6 +184,39 @@ def test_licences(docs, spark):
     assert sorted(sql) == sorted(tuple(r[c] for c in ("doc_id", "n_sentences", "sentence_ids", "licences")) for r in license_scan.scan_digests(df).collect())
 
 
+def hard_wrapped(names, mark=""):
+    paragraphs = ["\n".join(f"{mark}{line}" for line in textwrap.wrap(license_scan.SENTENCES[n], 72)) for n in names]
+    return f"\n{mark.rstrip()}\n".join(paragraphs)
+
+
+def test_wrapped_licences(spark):
+    mit, bsd, apache = "mit-grant mit-notice mit-warranty mit-liability".split(), "bsd-grant bsd-source bsd-binary bsd-endorse".split(), "apache-header apache-copy apache-basis".split()
+    licences = [("MIT", mit), ("BSD-3-Clause", bsd), ("Apache-2.0", apache), ("ISC", ["isc-grant"]), ("GPL-3.0-or-later", ["gpl3-header", "gpl-hope"]), ("GPL-2.0-or-later", ["gpl2-header", "gpl-hope"])]
+    texts = [(name, names, hard_wrapped(names, mark)) for name, names in licences for mark in ("", " * ", "# ", "// ")]
+    texts += [(name, names, text.replace("\n", end)) for name, names, text in texts for end in ("\r\n", "\r")]
+    apache_file = """/*
+ * Copyright 2020 A. Author
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+    numbered = [f"{k}. {license_scan.SENTENCES[n]}" for k, n in enumerate(bsd[1:], 1)]
+    bsd_file = "Copyright (c) 2020, An Author\nAll rights reserved.\n\n" + "\n".join(textwrap.fill(x, 76) for x in [license_scan.SENTENCES["bsd-grant"], *numbered])
+    texts += [("Apache-2.0", apache, apache_file), ("BSD-3-Clause", bsd, bsd_file), ("MIT", ["mit-name", *mit], "MIT License\nCopyright (c) 2020 X\n" + hard_wrapped(mit))]
+    texts += [("", [], "Permission to use, copy, modify, and/or\n\ndistribute"), ("MIT", ["mit-released"], "a line that ends nowhere\nReleased under the MIT License.")]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licences"], r["sentence_ids"]) for r in license_scan.scan_digests(df).collect()}
+    assert got == {i: (name, " ".join(names)) for i, (name, names, _) in enumerate(texts)}
+
+
 def test_packing_ids_are_tokenizers(docs):
     own = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     own.encode_special_tokens = True
