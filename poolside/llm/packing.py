@@ -1,6 +1,7 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm (op7).
 
-A document is its token ids and an end id. Documents of over ``capacity`` ids are cut into pieces of
+A document is its token ids and an end id. Where a text spells one of the tokenizer file's added tokens, it has
+that token's id; the parts between are encoded each for itself. Documents of over ``capacity`` ids are cut into pieces of
 ``capacity``, the first piece of what is left over; others are one piece. Full pieces fill a sequence.
 
 The rest is dealt into shares of about ``SHARE`` pieces by a hash, and a share's packings evolve on islands
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
 from functools import lru_cache
 
@@ -46,13 +48,15 @@ def byte_of_char() -> dict[str, int]:
 def encoding_of(path: str, pattern: str):
     """The tokenizer of a ``tokenizers`` byte-level BPE file, run by tiktoken, which gives the same ids several times faster.
 
-    A text that spells a special token is ordinary text.
+    It is for the text between added tokens: by itself it takes them for ordinary text.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    of, special = byte_of_char(), {t["content"] for t in model.get("added_tokens", [])}
+    merged = {"".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]}
+    of = byte_of_char()
+    special = {t["content"] for t in model.get("added_tokens", [])} - merged - of.keys()
     ranks = {bytes(of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -67,6 +71,52 @@ def ids_of(encoding, pattern, text: str) -> list[int]:
     return encoding.encode_ordinary(text)
 
 
+#: White space and the characters of words, as ``tokenizers`` has them.
+SPACE, WORD = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"
+SPACES, AFTER_WORD, BEFORE_WORD = regex.compile(f"{SPACE}*"), regex.compile(f"(?<={WORD})"), regex.compile(WORD)
+
+
+@lru_cache(maxsize=1)
+def added_of(path: str) -> list[tuple]:
+    """What finds a file's added tokens, and (id, flags) of each: those found in the text itself first, then those of normalised text."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    vocabulary, steps = model["model"]["vocab"], []
+    for normalised in (False, True):
+        tokens = {t["content"]: (vocabulary.get(t["content"], t["id"]), t) for t in model.get("added_tokens", []) if t["content"] and t.get("normalized", False) == normalised}
+        if tokens:
+            steps.append((re.compile("|".join(re.escape(t) for t in sorted(tokens, key=len, reverse=True))), tokens))
+    return steps
+
+
+def at_added(finder, tokens: dict, text: str):
+    """The parts of a text: an added token's id, or text between. The longest token counts, and takes the white space that its flags say."""
+    begin = 0
+    for found in finder.finditer(text):
+        (start, stop), (token, flags) = found.span(), tokens[found.group()]
+        if flags.get("single_word") and (AFTER_WORD.match(text, start) or BEFORE_WORD.match(text, stop)):
+            continue
+        if flags.get("lstrip"):
+            while start > begin and SPACES.match(text, start - 1).end() > start - 1:
+                start -= 1
+        if flags.get("rstrip"):
+            stop = SPACES.match(text, stop).end()
+        if begin < start:
+            yield text[begin:start]
+        yield token
+        begin = stop
+    if begin < len(text):
+        yield text[begin:]
+
+
+def all_ids(encoding, pattern, added: list[tuple], text: str) -> list[int]:
+    """The ids of a text, added tokens' own ones included."""
+    parts = [text]
+    for finder, tokens in added:
+        parts = [x for p in parts for x in (at_added(finder, tokens, p) if isinstance(p, str) else [p])]
+    return [i for p in parts for i in (ids_of(encoding, pattern, p) if isinstance(p, str) else [p])]
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids."""
     first = n % capacity or capacity
@@ -78,8 +128,9 @@ def pieces(df: DataFrame, tokenizer: str, pattern: str, id_col: str, text_col: s
 
     def tokenise(batches):
         encoding, split, key = encoding_of(tokenizer, pattern), regex.compile(pattern), TaskContext.get().partitionId() << 40
+        added = added_of(tokenizer)
         for doc, text in rows_of(batches, "id", "text"):
-            ids = np.array([*ids_of(encoding, split, text), end_id], "<u4")
+            ids = np.array([*all_ids(encoding, split, added, text), end_id], "<u4")
             for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                 yield key, doc, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())
                 key += 1

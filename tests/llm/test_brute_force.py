@@ -2,6 +2,8 @@
 
 import hashlib
 import html
+import itertools
+import json
 import math
 import random
 import re
@@ -226,6 +228,39 @@ def test_packing_ids_are_tokenizers(docs):
         assert packing.ids_of(encoding, pattern, t) == own.encode(t, add_special_tokens=False).ids
 
 
+ADDED_TEXTS = ["a<|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>é <|endoftext|", " \n" * 900 + "<|endoftext|>" + " " * 3000 + "x", "plain", ""]
+
+
+def test_packing_has_added_tokens(spark):
+    path, pattern = P.path("byte_bpe_50k.json"), regex.compile(P.PATTERN)
+    own = tokenizers.Tokenizer.from_file(path)
+    encoding, added = packing.encoding_of(path, P.PATTERN), packing.added_of(path)
+    want = {i: own.encode(t, add_special_tokens=False).ids for i, t in enumerate(ADDED_TEXTS)}
+    assert {i: packing.all_ids(encoding, pattern, added, t) for i, t in enumerate(ADDED_TEXTS)} == want and want[0] == [64, 50256, 275]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(ADDED_TEXTS)), "doc_id long, text string"), path, P.PATTERN, capacity=10_000).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {i: zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for i, ids in want.items()}
+
+
+def test_added_tokens_by_their_flags(tmp_path):
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = json.load(f)
+    flags = {"<ab>": "", "<abc>": "normalized", "<": "normalized", "foo": "single_word", "<L>": "lstrip", "<R>": "rstrip", "<LR>": "lstrip rstrip special", "<NS>": "single_word normalized rstrip"}
+    new = itertools.count(50257)  # a token that the vocabulary has keeps its id
+    for t, f in flags.items():
+        i = model["model"]["vocab"].get(t)
+        model["added_tokens"].append({"id": next(new) if i is None else i, "content": t, **{x: x in f.split() for x in ("single_word", "lstrip", "rstrip", "normalized", "special")}})
+    model["added_tokens"].sort(key=lambda t: t["id"])
+    path = str(tmp_path / "added.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(model, f)
+    own, encoding, added = tokenizers.Tokenizer.from_file(path), packing.encoding_of(path, P.PATTERN), packing.added_of(path)
+    rng, pattern = random.Random(6), regex.compile(P.PATTERN)
+    atoms = [*flags, "<|endoftext|>", " ", "\n", "\xa0", "\x1c", "é", "_", "x", "bar", ".", "\u0301", "\u200d", "中"]
+    for _ in range(3000):
+        t = "".join(rng.choices(atoms, k=rng.randint(1, 12)))
+        assert packing.all_ids(encoding, pattern, added, t) == own.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("share", [4096, 16])
 def test_packing(docs, monkeypatch, share):
     rows, df = docs
