@@ -13,14 +13,40 @@ from poolside.sources.tpch import Meets
 
 
 def duplicate_swimmers(m: Meets) -> DataFrame:
-    """Groups of swimmers that may be one: same words in the name and same sex, and birth years that don't conflict.
+    """Groups of swimmers with the same words in the name, the same sex and the same birth year (unknown is one of its own).
 
-    A group's size and its first and last id stand for its pairs. Names are numbers here, so their last three
-    digits are left out.
+    A narrower question than ``duplicate_pairs``: a group's size and its first and last id stand for its pairs.
     """
+    return named(m.swimmers).groupBy("key", "sex", "birth_year").agg(F.count("*").alias("n"), F.min("swimmer_id").alias("first_id"), F.max("swimmer_id").alias("last_id")).filter("n > 1")
+
+
+def named(swimmers: DataFrame) -> DataFrame:
+    """Swimmers with their name's key. Names are numbers here, so their last three digits are left out."""
     name = F.regexp_replace("swimmer", r"\d{3}$", "")
-    keyed = m.swimmers.filter("not is_relay_team").select(sorted_key(name).alias("key"), "sex", "birth_year", "swimmer_id")
-    return keyed.groupBy("key", "sex", "birth_year").agg(F.count("*").alias("n"), F.min("swimmer_id").alias("first_id"), F.max("swimmer_id").alias("last_id")).filter("n > 1")
+    return swimmers.filter("not is_relay_team").select(sorted_key(name).alias("key"), "sex", "birth_year", "swimmer_id")
+
+
+def duplicate_pairs(swimmers: DataFrame) -> DataFrame:
+    """Pairs of swimmers that may be one, as pairs of classes: same words in the name, and birth years at most one apart or unknown.
+
+    A class is the swimmers of a key and birth year (0 is unknown); its members are ``duplicate_members``. ``pairs``
+    is how many pairs of swimmers a row stands for, ``score`` 100 if both years are known and 95 if not.
+    """
+    classes = named(swimmers).groupBy("key", F.coalesce("birth_year", F.lit(0)).alias("birth_year")).agg(F.count("*").alias("n"))
+    known = F.col("birth_year") > 0
+    # known years look for their own and the next one, the unknown one for all
+    left = classes.withColumn("link", F.explode(F.when(known, F.array("birth_year", F.col("birth_year") + 1)).otherwise(F.array(F.lit(0)))))
+    right = classes.select("key", F.col("birth_year").alias("other_year"), F.col("n").alias("others"), F.explode(F.array_distinct(F.array("birth_year", F.lit(0)))).alias("link"))
+    pairs = F.when(F.col("birth_year") == F.col("other_year"), F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("others"))
+    score = F.when(F.least("birth_year", "other_year") > 0, 100).otherwise(95)
+    return left.join(right, ["key", "link"]).select("key", "birth_year", "other_year", score.alias("score"), "n", "others", pairs.alias("pairs")).filter("pairs > 0")
+
+
+def duplicate_members(swimmers: DataFrame) -> DataFrame:
+    """The members of the classes in ``duplicate_pairs``, a row for each swimmer."""
+    pairs = duplicate_pairs(swimmers)
+    linked = pairs.select("key", F.explode(F.array("birth_year", "other_year")).alias("birth_year")).distinct()
+    return named(swimmers).select("key", F.coalesce("birth_year", F.lit(0)).alias("birth_year"), "swimmer_id").join(linked, ["key", "birth_year"], "left_semi")
 
 
 def orphan_clubs(m: Meets, n: int = 50) -> DataFrame:
@@ -42,8 +68,16 @@ def relay_placeholders(swims: DataFrame) -> DataFrame:
     return swims.groupBy("swimmer_id").agg(F.count("*").alias("results"), F.count_if(F.col("is_relay")).alias("relays")).filter("results = relays")
 
 
+#: Pairs of swimmers one by one, by the rule itself.
+PAIRED = """, named AS (SELECT swimmer_id, coalesce(birth_year, 0) AS y, array_to_string(list_sort(string_split(trim(regexp_replace(upper(regexp_replace(swimmer, '\\d{3}$', '')), '[^A-Z0-9_]+', ' ', 'g')), ' ')), ' ') AS key FROM swimmers WHERE NOT is_relay_team),
+paired AS (SELECT a.key, a.swimmer_id AS id_a, b.swimmer_id AS id_b, a.y AS y_a, b.y AS y_b, CASE WHEN a.y > 0 AND b.y > 0 THEN 100 ELSE 95 END AS score
+FROM named a JOIN named b ON a.key = b.key AND a.swimmer_id < b.swimmer_id WHERE a.y = 0 OR b.y = 0 OR abs(a.y - b.y) <= 1)
+"""
+
 QUERIES = {
     "qy37_duplicate_swimmers": duplicate_swimmers,
+    "qy37_duplicate_pairs": lambda m: duplicate_pairs(m.swimmers),
+    "qy37_duplicate_members": lambda m: duplicate_members(m.swimmers),
     "qy39_orphan_clubs": orphan_clubs,
     "qy40_points": lambda m: m.swims.select("event_id", "sex", "pool", "time_cs", "points").distinct(),
     "sc03_times": lambda m: m.swims.select("time_cs").distinct().select("time_cs", format_centiseconds(F.col("time_cs")).alias("time")),
@@ -55,6 +89,10 @@ QUERIES = {
 SQL = {
     "qy37_duplicate_swimmers": """SELECT key, sex, birth_year, count(*) AS n, min(swimmer_id) AS first_id, max(swimmer_id) AS last_id
 FROM (SELECT *, array_to_string(list_sort(string_split(trim(regexp_replace(upper(regexp_replace(swimmer, '\\d{3}$', '')), '[^A-Z0-9_]+', ' ', 'g')), ' ')), ' ') AS key FROM swimmers WHERE NOT is_relay_team) GROUP BY ALL HAVING count(*) > 1""",
+    "qy37_duplicate_pairs": PAIRED
+    + """SELECT key, birth_year, other_year, score, a.n, b.n AS others, pairs FROM (SELECT key, least(y_a, y_b) AS birth_year, greatest(y_a, y_b) AS other_year, score, count(*) AS pairs FROM paired GROUP BY ALL)
+JOIN (SELECT key, y AS birth_year, count(*) AS n FROM named GROUP BY ALL) a USING (key, birth_year) JOIN (SELECT key, y AS other_year, count(*) AS n FROM named GROUP BY ALL) b USING (key, other_year)""",
+    "qy37_duplicate_members": PAIRED + "SELECT key, y AS birth_year, swimmer_id FROM named WHERE swimmer_id IN (SELECT id_a FROM paired UNION SELECT id_b FROM paired)",
     "qy39_orphan_clubs": "SELECT team, count(*) AS results FROM swims WHERE lower(team) NOT IN (SELECT lower(s_name) FROM supplier) GROUP BY ALL ORDER BY results DESC, team LIMIT 50",
     "qy40_points": "SELECT DISTINCT event_id, sex, pool, time_cs, points FROM swims",
     "sc03_times": f"SELECT time_cs, {TIME.format('time_cs')} AS time FROM (SELECT DISTINCT time_cs FROM swims)",

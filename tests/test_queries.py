@@ -118,6 +118,23 @@ def test_club_spellings(spark):
     assert set(got.values()) == {"STADE OLYMPIQUE CHAMBÉRY", "OLYMPIC NICE NATATION", "CA"}
 
 
+def test_duplicates_by_the_references_rule(spark):
+    from poolside.plans.clean import duplicate_members, duplicate_pairs
+
+    rows = [(1, "Ali TAMER", "M", 2000), (2, "TAMER, Ali", "F", 2001), (3, "Ali Tamer", "M", None), (4, "ali tamer", "M", 2003), (5, "Ali TAMER", "M", 2000), (6, "Lina MAHI", "F", 2007), (7, "Lina MAHI", "F", 2009), (8, "Sami X", "M", None), (9, "Sami X", "M", None)]
+    df = spark.createDataFrame([(*r, False) for r in rows], "swimmer_id int, swimmer string, sex string, birth_year int, is_relay_team boolean")
+    members = {}
+    for r in duplicate_members(df).collect():
+        members.setdefault((r["key"], r["birth_year"]), []).append(r["swimmer_id"])
+    got = set()
+    for r in duplicate_pairs(df).collect():
+        a, b = members[r["key"], r["birth_year"]], members[r["key"], r["other_year"]]
+        found = {(min(x, y), max(x, y), r["score"]) for x in a for y in b if x != y}
+        assert len(found) == r["pairs"] and not found & got
+        got |= found
+    assert got == {(1, 2, 100), (1, 5, 100), (2, 5, 100), (1, 3, 95), (2, 3, 95), (3, 4, 95), (3, 5, 95), (8, 9, 95)}
+
+
 def test_tables(spark):
     from poolside.sources import tables
 
