@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates: that of the smallest id, then text hash, then row."""
     return one_of_each(docs)
 
 
@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", packing)]
 
-#: SQL can't express the network, the classes' closure and the packing; tests hold the stages against brute force.
+#: SQL can't express the network, the classes' closure and the packing. Tests hold near_dedup's rows against brute force, and the operators of passage_dedup and packing; not yet run()'s rows.
 ORACLE_SQL = None
 
 

@@ -54,22 +54,27 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = 4) -> DataFrame:
     """id and fp (the fingerprint as a signed long) of each row."""
+    return with_prints(text_rows(df, id_col, text_col), ("id",), words)
+
+
+def with_prints(rows: DataFrame, names: tuple[str, ...], words: int) -> DataFrame:
+    """The columns ``names`` (longs) of rows with a text, and fp."""
 
     def make(batches):
-        ids, prints = [], []
-        for doc, text in rows_of(batches, "id", "text"):
-            ids.append(doc)
+        held, prints = [], []
+        for *values, text in rows_of(batches, *names, "text"):
+            held.append(values)
             prints.append(fingerprint(text, words))
-            if len(ids) == 8192:
-                yield batch(ids, prints)
-                ids, prints = [], []
-        if ids:
-            yield batch(ids, prints)
+            if len(held) == 8192:
+                yield batch(held, prints)
+                held, prints = [], []
+        if held:
+            yield batch(held, prints)
 
-    def batch(ids, prints):
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "fp"])
+    def batch(held, prints):
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*held)), pa.array(np.array(prints, np.uint64).view(np.int64))], names=[*names, "fp"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(make, "id long, fp long")
+    return rows.mapInArrow(make, ", ".join(f"{c} long" for c in (*names, "fp")))
 
 
 def trie_links(left: np.ndarray, right: np.ndarray | None, max_bits: int):
@@ -223,7 +228,17 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its class, one row for each id; rows whose id is null can't be compared and stay."""
-    classes = simhash_classes(df, id_col, text_col, words, max_bits)
-    keep = staged(classes.filter(F.col(id_col) == F.col("component_id")).select(id_col))
-    return df.join(keep, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns).union(df.filter(F.col(id_col).isNull()))
+    """One row of ``df`` for each class: that of the smallest id, then text hash, then row number. Rows whose id is null can't be compared and stay.
+
+    Rows are told apart by a written number and not by their ids, so different texts with one id are judged each
+    for itself, and what is computed again after a loss chooses the same rows.
+    """
+    number = next(n for n in (f"_row{k or ''}" for k in range(len(df.columns) + 1)) if n not in df.columns)
+    numbered = staged(df.withColumn(number, F.monotonically_increasing_id()))
+    texts = numbered.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
+    rows = staged(with_prints(texts.withColumn("hash", F.xxhash64("text")), ("row", "id", "hash"), words))
+    by_print = staged(rows.groupBy("fp").agg(F.min("row").alias("node"), F.min(F.struct("id", "hash", "row")).alias("first")))
+    roots = stars(links(by_print.select("node", "fp"), max_bits))
+    first = by_print.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    keep = staged(first.select(F.col("first.row").alias(number)))
+    return numbered.join(keep, number, "left_semi").select(*df.columns).union(numbered.filter(F.col(id_col).isNull()).select(*df.columns))

@@ -20,6 +20,7 @@ import tiktoken
 import tokenizers
 import xxhash
 
+import corpus_pipeline
 from poolside.llm import bm25, bpe, html_extract, language_id, license_scan, packing, simhash, substring_dedup, token_count, webp
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +148,34 @@ def test_simhash(docs, monkeypatch, chunk):
     assert got == {d: (f"{p:016x}", find(d)) for d, p in prints.items()}
 
 
+def brute_one_of_each(rows):
+    """The rows kept: the smallest (id, text hash) of each class of linked rows, and those without an id."""
+    with_id = [r for r in rows if r[0] is not None]
+    prints, label = [brute_fingerprint(t) for _, t in with_id], list(range(len(with_id)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and label[a] != label[b]:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    classes = defaultdict(list)
+    for r, x in zip(with_id, label):
+        classes[x].append(r)
+    hashed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) ^ 1 << 63) - (1 << 63)
+    return [min(c, key=lambda r: (r[0], hashed(r[1]))) for c in classes.values()] + [r for r in rows if r[0] is None]
+
+
+def test_near_dedup_stage(docs, spark):
+    a, b, c = (texts(1, seed=s, longest=400)[0] for s in (11, 12, 13))
+    # (5, a) is a copy of (3, a), and (5, b) and (7, c) have no copies; two texts of id 7 are apart
+    own = [(3, a), (5, a), (5, b), (7, c), (7, "entirely other words stand here now"), (None, a), (None, a)]
+    for rows in (own, docs[0] + [(d, t and t + " tail") for d, t in docs[0][:100]]):
+        df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+        key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+        assert sorted(got, key=key) == sorted(brute_one_of_each(rows), key=key)
+    assert (5, b) in brute_one_of_each(own) and (5, a) not in brute_one_of_each(own)
+
+
 def test_bpe_is_tiktokens(docs):
     rows, df = docs
     vocabulary = bpe.Vocabulary.load(P.path("byte_bpe_50k.tiktoken"))
