@@ -50,20 +50,67 @@ def docs(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
 
 
-def test_search_is_exact(docs):
-    rows, df = docs
-    bags = {d: Counter(bm25.terms_of(t or "")) for d, t in rows}
-    mean = sum(b.total() for b in bags.values()) / len(bags)
-    dfs = Counter(t for b in bags.values() for t in b)
+def brute_search(rows, every, k):
+    """Per query, the best k (id, score) of all documents, and all their scores."""
+    bags = [(d, Counter(bm25.terms_of(t or ""))) for d, t in rows]
+    mean = sum(b.total() for _, b in bags) / len(bags)
+    dfs = Counter(t for _, b in bags for t in b)
     idf = {t: math.log1p((len(bags) - n + 0.5) / (n + 0.5)) for t, n in dfs.items()}
+    for q, asked in bags:
+        if q % every == 0:
+            scores = [(d, sum(n * idf[t] * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * b.total() / mean)) for t, n in asked.items() if t in b)) for d, b in bags]
+            yield q, sorted(((d, s) for d, s in scores if s > 0), key=lambda x: (-round(x[1], 6), x[0]))[:k]
+
+
+def long_texts(rng, n, words):
+    """A few documents of very many different words."""
+    return [" ".join({f"w{rng.randrange(4 * words)}" for _ in range(words)}) for _ in range(n)]
+
+
+SMALL_SEARCH = {"SHARD_DOCS": 40, "BLOCK": 4, "LEAST_DF": 3, "QUERY_TERMS": 500, "TOGETHER": 3}
+
+
+@pytest.mark.parametrize("kind", ["mixed", "small", "long", "copies"])
+def test_search_is_exact(docs, spark, monkeypatch, kind):
+    for name, value in (SMALL_SEARCH if kind == "small" else {}).items():
+        monkeypatch.setattr(bm25, name, value)
+    rows = docs[0]
+    if kind == "long":
+        rows = list(enumerate(long_texts(random.Random(4), 20, 10_000)))
+    if kind == "copies":
+        rows = [(i, rows[i % 7][1] if i % 3 else t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    every = 2 if kind == "long" else 20
     got = defaultdict(list)
-    for r in sorted(bm25.search(df, df.filter("doc_id % 20 = 0"), k=7).collect()):
+    for r in sorted(bm25.search(df, df.filter(f"doc_id % {every} = 0"), k=7).collect()):
         got[r["query_id"]].append((r["doc_id"], r["score"]))
-    for q in (d for d, _ in rows if d % 20 == 0 and bags[d]):
-        scores = {d: sum(n * idf[t] * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * b.total() / mean)) for t, n in bags[q].items() if t in b) for d, b in bags.items()}
-        best = sorted(((d, s) for d, s in scores.items() if s > 0), key=lambda x: (-round(x[1], 6), x[0]))[:7]
+    asked = 0
+    for q, best in brute_search(rows, every, 7):
+        asked += bool(best)
         assert [d for d, _ in got[q]] == [d for d, _ in best]
         assert np.allclose([s for _, s in got[q]], [s for _, s in best], atol=1e-5)
+    assert asked == len([q for q in got.values() if q]) > 5
+
+
+def test_search_skips_blocks():
+    """Documents of two kinds: a query of one kind goes through no block of the other, and finds what it finds without a threshold."""
+    rng = random.Random(8)
+    words = [[f"{kind}{i}" for i in range(60)] for kind in "ab"]
+    part = bm25.Builder()
+    for i in range(2000):
+        part.add(i, " ".join(rng.choices(words[i % 2], k=30)))
+    _, _, total, copies, ids, lengths, terms, _, sizes, docs, tfs = part.row(0)
+    shard = bm25.Shard(copies, ids, lengths, bm25.pa.array(terms), sizes, docs, tfs, total / 2000, 1.2, 0.75)
+    asked = [words[0][:20], words[1][20:40]]
+    table = bm25.pa.table({"key": [b"0", b"1"], "terms": [[w.encode() for w in a] for a in asked], "weights": [[1.0] * 20] * 2})
+    queries = bm25.Queries.of(table)
+    free = {i: (list(d), list(s)) for i, d, s in shard.search(queries, 10)}
+    queries.least = np.array([free[i][1][-1] for i in range(2)])
+    assert {i: (list(d), list(s)) for i, d, s in shard.search(queries, 10)} == free
+    weights = np.zeros((1, len(shard.full)), np.float32)
+    numbers = [shard.terms.index(t).as_py() for t in queries.terms.to_pylist()[:20]]
+    weights[0, shard.row_of[numbers]] = 1
+    assert ((weights @ shard.most)[0] < queries.least[0]).sum() >= shard.most.shape[1] // 2 - 1
 
 
 def test_token_counts(docs):
