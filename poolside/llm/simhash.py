@@ -5,21 +5,27 @@ it. Fingerprints of at most ``max_bits`` different bits are linked, and a class
 
 1. One pass makes the fingerprints; equal ones become one node, named by its smallest id.
 2. If the bits are cut into ``max_bits + 1`` segments, linked fingerprints agree on at least one. So each
-   node goes to one bucket per segment, and buckets are joined apart from each other. With more nodes, the
-   bits are cut into more segments and buckets are named by several of them, so buckets don't grow.
+   node goes to one bucket per segment, named by so many of the segment's bits that buckets have about
+   ``BUCKET`` nodes, and buckets are joined apart from each other. With more nodes, the bits are cut into more
+   segments and buckets are named by several of them, so buckets don't grow.
 3. A bucket of more than ``CHUNK`` nodes is dealt out in chunks, and each pair of chunks is a task of its own.
 4. Within a task, sorted fingerprints are a binary trie. Pairs of its nodes are traversed together and the
    differing bits above them summed; a pair over the budget is left. Links become a spanning forest there,
    so a group of n near copies gives n - 1 edges and not n * n.
 5. Edges become stars of their smallest node, by alternating star contraction over written tables.
 
+``one_of_each`` keeps one row of each class. There two fingerprints are linked only if the rows' sketches say,
+too, that their sets of five-word shingles are alike.
+
 Null and empty texts have fingerprint zero and are linked like any other. Rows whose id is null get a
 fingerprint, and the class of their fingerprint; a class without any id is null. Repeated rows stay.
+A text of any length is read whole. An empty table gives no rows; only the two named columns are read for classes.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolside.llm.common import rows_of, staged, text_rows
+from poolside.llm.common import free_name, rows_of, staged, text_rows
 
 #: Nodes of a bucket that are joined in one task; larger buckets are dealt out in chunks of about so many.
 CHUNK = 4096
+#: Nodes of a bucket, about; groups of segments that name buckets, at most.
+BUCKET, GROUPS = 512, 72
 #: Pairs of trie nodes with at most so many leaf pairs are compared leaf by leaf.
-LEAF_PAIRS = 16384
+LEAF_PAIRS = 512
+#: Numbers of 64 bits of a sketch: each bit is that of the least shingle hash of one permutation.
+SKETCH = 4
+SKETCHED = tuple(f"s{k}" for k in range(SKETCH))
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -52,29 +63,50 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands that permute 64-bit numbers."""
+    rng = np.random.default_rng(11)
+    return rng.integers(0, 2**63, 64 * SKETCH, np.uint64) << np.uint64(1) | np.uint64(1), rng.integers(0, 2**63, 64 * SKETCH, np.uint64)
+
+
+def sketch(text: str, words: int = 5) -> list[int]:
+    """Sketch of the set of a text's shingles: two texts' bits agree with probability (1 + Jaccard similarity) / 2."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh3_64_intdigest
+    shingles = {digest(b" ".join(tokens[i : i + words])) for i in range(max(1, len(tokens) - words + 1))}
+    hashes, (factors, summands) = np.fromiter(shingles, np.uint64, len(shingles)), permutations()
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        x = hashes[at : at + 1024, None] * factors + summands
+        least = np.minimum(least, (x ^ x >> np.uint64(29)).min(axis=0))
+    bits = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = 4) -> DataFrame:
     """id and fp (the fingerprint as a signed long) of each row."""
     return with_prints(text_rows(df, id_col, text_col), ("id",), words)
 
 
-def with_prints(rows: DataFrame, names: tuple[str, ...], words: int) -> DataFrame:
-    """The columns ``names`` (longs) of rows with a text, and fp."""
+def with_prints(rows: DataFrame, names: tuple[str, ...], words: int, sketched: bool = False) -> DataFrame:
+    """The columns ``names`` (longs) of rows with a text, and fp; with their sketch if asked for."""
+    more = SKETCHED if sketched else ()
 
     def make(batches):
-        held, prints = [], []
+        held = []
         for *values, text in rows_of(batches, *names, "text"):
-            held.append(values)
-            prints.append(fingerprint(text, words))
+            fp = fingerprint(text, words)
+            held.append((*values, fp - (1 << 64) if fp >> 63 else fp, *(sketch(text) if sketched else ())))
             if len(held) == 8192:
-                yield batch(held, prints)
-                held, prints = [], []
+                yield batch(held)
+                held = []
         if held:
-            yield batch(held, prints)
+            yield batch(held)
 
-    def batch(held, prints):
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*held)), pa.array(np.array(prints, np.uint64).view(np.int64))], names=[*names, "fp"])
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=[*names, "fp", *more])
 
-    return rows.mapInArrow(make, ", ".join(f"{c} long" for c in (*names, "fp")))
+    return rows.mapInArrow(make, ", ".join(f"{c} long" for c in (*names, "fp", *more)))
 
 
 def trie_links(left: np.ndarray, right: np.ndarray | None, max_bits: int):
@@ -94,8 +126,10 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, max_bits: int):
         if spent > max_bits:
             continue
         if (b - a) * (d - c) <= LEAF_PAIRS or not fork:
-            rows, columns = np.nonzero(np.bitwise_count(left[a:b, None] ^ right[None, c:d]) <= max_bits)
-            yield rows + a, columns + c
+            step = max(1, (1 << 20) // (d - c))
+            for at in range(a, b, step):
+                rows, columns = np.nonzero(np.bitwise_count(left[at : min(b, at + step), None] ^ right[None, c:d]) <= max_bits)
+                yield rows + at, columns + c
             continue
         half = 1 << fork - 1
         m = a + int(np.searchsorted(left[a:b] & np.uint64(2 * half - 1), half))
@@ -107,14 +141,22 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, max_bits: int):
                 stack.append((m, b, c, n, fork - 1, spent + 1))
 
 
-def forest(prints: np.ndarray, side: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each of the fingerprints, the first of its class here. ``side``: 0 and 1 are joined with each other, or all are 0."""
+def forest(prints: np.ndarray, side: np.ndarray, max_bits: int, sketches: np.ndarray | None = None, apart_most: int = 0) -> np.ndarray:
+    """For each of the fingerprints, the first of its class here. ``side``: 0 and 1 are joined with each other, or all are 0.
+
+    With ``sketches`` (rows of SKETCH numbers), links have at most ``apart_most`` different bits in them, too.
+    """
     order = np.lexsort((prints, side))
     cut = int(np.searchsorted(side[order], 1))
     left, right = prints[order[:cut]], prints[order[cut:]]
     label = np.arange(len(prints))
     for rows, columns in trie_links(left, right if len(right) else None, max_bits):
         a, b = order[rows], order[columns + (cut if len(right) else 0)]
+        if sketches is not None:
+            known = label[a] == label[b]
+            a, b = a[~known], b[~known]
+            alike = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1) <= apart_most
+            a, b = a[alike], b[alike]
         while True:
             x, y = label[a], label[b]
             apart = x != y
@@ -130,39 +172,41 @@ def forest(prints: np.ndarray, side: np.ndarray, max_bits: int) -> np.ndarray:
 
 
 def segments(n_nodes: int, max_bits: int) -> list[tuple[int, ...]]:
-    """Groups of bits (as masks' bit ranges) so that linked fingerprints agree on at least one group.
+    """Groups of bits so that linked fingerprints agree on at least one group.
 
-    With s segments, s - max_bits are untouched by any link, so buckets are named by that many. More nodes take
-    more segments, till a bucket of evenly spread fingerprints has about 256.
+    With s segments, s - max_bits are untouched by any link, so buckets are named by bits of that many. More nodes
+    take more segments, till there would be over ``GROUPS`` groups; few nodes take fewer bits of a segment.
     """
-    for s in range(max_bits + 1, max_bits + 5):
-        named = s - max_bits
-        if n_nodes <= 256 << 64 * named // s or s == max_bits + 4:
-            edges = [round(64 * i / s) for i in range(s + 1)]
-            return [tuple(bit for i in chosen for bit in range(edges[i], edges[i + 1])) for chosen in combinations(range(s), named)]
-    raise AssertionError
-
-
-def links(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Edges (u > v) that connect the linked ones of ``nodes`` (node, fp); fp is unique."""
+    wanted = max(0, n_nodes // BUCKET).bit_length()
+    s = max_bits + 1
+    while 64 * (s - max_bits) // s < wanted and comb(s + 1, max_bits) <= GROUPS:
+        s += 1
+    edges = [round(64 * i / s) for i in range(s + 1)]
+    groups = (tuple(bit for i in chosen for bit in range(edges[i], edges[i + 1]))[:wanted] for chosen in combinations(range(s), s - max_bits))
+    return list(dict.fromkeys(groups))
+
+
+def links(nodes: DataFrame, max_bits: int, apart_most: int | None = None) -> DataFrame:
+    """Edges (u > v) that connect the linked ones of ``nodes`` (node, fp; with ``apart_most``, also the sketch)."""
+    more = [] if apart_most is None else list(SKETCHED)
     masks = [sum(1 << b for b in bits) for bits in segments(nodes.count(), max_bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "value"))
+    keyed = nodes.select("node", "fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "value"))
     sizes = keyed.groupBy("part", "value").agg(F.count("*").alias("size")).filter("size > 1")
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = (
         keyed.join(sizes, ["part", "value"])
-        .select("node", "fp", "part", "value", parts.alias("parts"))
+        .select("node", "fp", *more, "part", "value", parts.alias("parts"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("node", "fp", "part", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        .select("node", "fp", *more, "part", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     )
     key = ["part", "value", "low", "high"]
-    return pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: bucket_edges(batches, key, max_bits), "u long, v long")
+    return pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: bucket_edges(batches, key, max_bits, apart_most), "u long, v long")
 
 
-def bucket_edges(batches, key, max_bits):
+def bucket_edges(batches, key, max_bits, apart_most):
     """Edges of sorted rows, a bucket at a time; only the bucket at hand is held."""
     rest = None
     for batch in batches:
@@ -172,22 +216,23 @@ def bucket_edges(batches, key, max_bits):
         new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1 if len(part) > 1 else np.array([], int)
         last = int(new[-1]) if len(new) else 0
         rest = part.slice(last)
-        yield from edges_of(part.slice(0, last), [0, *new.tolist()], max_bits)
+        yield from edges_of(part.slice(0, last), [0, *new.tolist()], max_bits, apart_most)
     if rest is not None and len(rest):
-        yield from edges_of(rest, [0, len(rest)], max_bits)
+        yield from edges_of(rest, [0, len(rest)], max_bits, apart_most)
 
 
-def edges_of(part, bounds, max_bits):
+def edges_of(part, bounds, max_bits, apart_most):
     if not len(part):
         return
     node, prints, side = (part.column(c).to_numpy() for c in ("node", "fp", "side"))
     prints = prints.view(np.uint64)
+    sketches = None if apart_most is None else np.stack([part.column(c).to_numpy() for c in SKETCHED], axis=1).view(np.uint64)
     found = []
     for a, b in zip(bounds, bounds[1:]):
         if b - a < 2:
             continue
         order = np.argsort(node[a:b], kind="stable") + a
-        first = order[forest(prints[order], side[order], max_bits)]
+        first = order[forest(prints[order], side[order], max_bits, None if sketches is None else sketches[order], apart_most)]
         linked = first != order
         found.append((node[order[linked]], node[first[linked]]))
     if found:
@@ -227,18 +272,23 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 8, similarity: float = 0.8) -> DataFrame:
     """One row of ``df`` for each class: that of the smallest id, then text hash, then row number. Rows whose id is null can't be compared and stay.
 
+    Links have at most ``max_bits`` different bits in fingerprints of ``words``-word shingles, and sketches of their
+    five-word shingles that can be those of sets of ``similarity`` (a standard deviation and a half is allowed for).
     Rows are told apart by a written number and not by their ids, so different texts with one id are judged each
-    for itself, and what is computed again after a loss chooses the same rows.
+    for itself, and what is computed again after a loss chooses the same rows. Columns of any name stay as they are.
     """
-    number = next(n for n in (f"_row{k or ''}" for k in range(len(df.columns) + 1)) if n not in df.columns)
+    number = free_name(df, "_row")
+    bits = 64 * SKETCH
+    apart = (1 - similarity) / 2
+    apart_most = round(bits * apart + 1.5 * (bits * apart * (1 - apart)) ** 0.5)
     numbered = staged(df.withColumn(number, F.monotonically_increasing_id()))
     texts = numbered.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
-    rows = staged(with_prints(texts.withColumn("hash", F.xxhash64("text")), ("row", "id", "hash"), words))
-    by_print = staged(rows.groupBy("fp").agg(F.min("row").alias("node"), F.min(F.struct("id", "hash", "row")).alias("first")))
-    roots = stars(links(by_print.select("node", "fp"), max_bits))
+    rows = staged(with_prints(texts.withColumn("hash", F.xxhash64("text")), ("row", "id", "hash"), words, sketched=True))
+    by_print = staged(rows.groupBy("fp", *SKETCHED).agg(F.min("row").alias("node"), F.min(F.struct("id", "hash", "row")).alias("first")))
+    roots = stars(links(by_print.select("node", "fp", *SKETCHED), max_bits, apart_most))
     first = by_print.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     keep = staged(first.select(F.col("first.row").alias(number)))
     return numbered.join(keep, number, "left_semi").select(*df.columns).union(numbered.filter(F.col(id_col).isNull()).select(*df.columns))

@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import hashlib
+import zlib
+
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +78,52 @@ def test_pipeline(spark, tmp_path, rows):
     kept = [r["doc_id"] for r in docs.collect()]
     assert sorted(x for x in kept if x is not None) == ([1, 5, 7] if rows else [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(kept)
+
+
+OWN = ["score", "lang_pred", "_kept", "_id", "_whole", "_row", "changed", "Kept", "fp", "row"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "the cat sat on the mat and it was good", "en", None, 99), (2, " ".join(f"w{i}" for i in range(80)), "en", None, 98), (3, "head " + " ".join(f"w{i}" for i in range(80)), "en", None, 97)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in OWN})
+    n_chars = {1: 99, 2: 98, 3: 4}  # only a text that lost words is counted anew
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "").collect()
+        assert got and got[0].asDict().keys() == set(docs.columns), name
+        for r in got:
+            assert [r[c] for c in OWN] == [f"{c}{r['doc_id']}" for c in OWN]
+            assert r["n_chars"] == (n_chars if name == "passage_dedup" else {1: 99, 2: 98, 3: 97})[r["doc_id"]]
+
+
+VALUES = {
+    "language": lambda r: (r["lang_pred"], r["score"]) == ("und", 0.0),
+    "simhash": lambda r: (r["fingerprint"], r["component_id"]) == ("0" * 16, 2),
+    "bpe": lambda r: r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest(),
+    "tokens": lambda r: (r["n_words"], r["n_tokens"]) == (0, 0),
+    "licence": lambda r: (r["n_sentences"], r["licences"]) == (0, ""),
+    "webp": lambda r: (r["n_bytes"], r["payload_bytes"]) == (len(r["text"]), 64),
+    "dedup": lambda r: (r["n_words"], r["n_removed"], r["kept_sha256"]) == (0, 0, hashlib.sha256(b"").hexdigest()),
+    "html": lambda r: (r["text"], r["n_chars"]) == ("", 0),
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_values_of_blank_texts(spark, name):
+    """Null, empty and white texts, of which no word is read."""
+    rows = [(2, None), (3, ""), (4, " \t\n ")]
+    df = frame(spark, [(*r, None, None, None) for r in rows])
+    got = {r["doc_id"]: r.asDict() for r in operators(df)[name]().collect()}
+    for d, text in rows:
+        assert VALUES[name]({"text": text or ""} | ({k: v for k, v in got[d].items() if k != "text" or name == "html"})), (name, d)
+
+
+def test_values_of_searches_and_packing(spark):
+    """Copies tie and come by id, each as often as it is there; blank texts are one end id."""
+    df = frame(spark, ROWS)
+    found = bm25.search(df, df, k=20).collect()
+    assert sorted((r["rank"], r["doc_id"]) for r in found if r["query_id"] == 5) == [(1, 5), (2, 6)]
+    ones = sorted((r["rank"], r["doc_id"]) for r in found if r["query_id"] == 1)
+    assert ones == [(1, 1), (1, 1), (2, 1), (2, 1)]
+    assert not {r["query_id"] for r in found} & {2, 3, 4, None}
+    packed = [r for r in packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect() if r["doc_id"] in (2, 3)]
+    assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed] == [(0, 0, 1, zlib.crc32(bytes(4)))] * 2
