@@ -1,14 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes (op3).
 
 A text is cut into windows at white space (a word with a space in front; words over ``WINDOW`` bytes are cut
-again). The network reads a window's bytes from both ends and labels every position with a probability for
+again, between characters, and all their windows are learned from). The network reads a window's bytes from both ends and labels every position with a probability for
 each language; a text's probabilities are the mean over all its positions. Windows are labelled apart from
 each other, so equal ones are labelled once.
 
 The network is trained here, in numpy, by backpropagation through time, on a bounded sample: about
 ``train_rows`` rows, chosen by a hash of their id evenly over the languages, and of their words the
 ``train_words`` most frequent ones. Null texts and texts without a letter are ``und`` with score 0. Rows
-whose id is null are labelled but not learned from. Repeated rows stay.
+whose id is null are labelled but not learned from. Repeated rows stay. Very long texts are read whole. Without a row to learn
+from, the only language is ``und``. Columns other than the named ones can have any name.
 """
 
 from __future__ import annotations
@@ -157,9 +158,16 @@ class BiGru:
 
 
 def cut(word: bytes) -> list[bytes]:
-    """The windows of a word, a space in front of it."""
+    """The windows of a word, a space in front of it; no character is cut in two."""
     word = b" " + word
-    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)]
+    out = []
+    while len(word) > WINDOW:
+        end = WINDOW
+        while end > WINDOW - 4 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[:end])
+        word = word[end:]
+    return [*out, word]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -175,7 +183,7 @@ def train_language_model(
     Spark, and the driver gets the ``train_words`` most frequent pairs.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).na.drop()
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return BiGru.fresh(["und"], hidden)
@@ -188,7 +196,7 @@ def train_language_model(
     total = Counter()
     for r in seen:
         total[r["lang"]] += r["n"] ** 0.5
-    found = sorted((w, langs.index(r["lang"]), r["n"] ** 0.5 / total[r["lang"]]) for r in seen for w in cut(words_of(r["word"])[0])[:1])
+    found = sorted((w, langs.index(r["lang"]), r["n"] ** 0.5 / total[r["lang"]]) for r in seen for w in cut(words_of(r["word"])[0]))
     model = BiGru.fresh(langs, hidden)
     if len(langs) > 1:
         words, target, weight = zip(*found)
@@ -242,9 +250,9 @@ class Labeller:
         return out
 
 
-def detect_languages(df: DataFrame, model: BiGru, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with lang_pred and score (in place of columns of these names). One pass, without a shuffle."""
-    df = df.drop("lang_pred", "score")
+def detect_languages(df: DataFrame, model: BiGru, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """The rows of ``df`` with their language and its score, in columns of these names (in place of any that have them). One pass, without a shuffle."""
+    df = df.drop(lang_name, score_name)
 
     def label(batches):
         labeller = Labeller(model)
@@ -254,9 +262,9 @@ def detect_languages(df: DataFrame, model: BiGru, text_col: str = "text") -> Dat
                 part = batch.slice(at, 512)
                 found = labeller([t or "" for t in part.column(texts).to_pylist()])
                 columns = [*part.columns, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_name, score_name])
 
-    return df.mapInArrow(label, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return df.mapInArrow(label, StructType([*df.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
