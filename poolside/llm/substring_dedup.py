@@ -13,10 +13,11 @@ sequence also starts in a document of a smaller id; windows are judged on the in
    slice of a cell's passages with a slice of its regions, so no shard grows with a frequent passage. In each,
    an Aho-Corasick automaton over words has a phrase of every passage per ``width - phrase + 1`` words (so each
    window holds one in full); regions stream through it. Windows around hits are looked up among the passages'
-   windows and compared with them word by word. What they cover is removed.
+   windows and compared with them by 64-bit hashes of their words, one by one. What they cover is removed.
 
 Null texts and texts of fewer words lose nothing. Rows whose id is null are kept whole and judge no other.
-Rows that repeat an id are judged each by itself, and never against each other.
+Rows that repeat an id are judged each by itself, and never against each other. Texts of any length are read
+whole; of equal texts the smallest id keeps its words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolside.llm.common import WORD, record_batches, rows_of, staged, text_rows
+from poolside.llm.common import WORD, free_name, record_batches, rows_of, staged, text_rows
 
 #: Words of the shingles that anchors are taken from, and of the phrases in automata.
 SHINGLE, PHRASE = 18, 8
@@ -167,19 +168,23 @@ def left_of(hit: DataFrame) -> DataFrame:
     return hit.mapInArrow(lambda b: record_batches(cut(b), names, types), "judge long, n_left long, kept string")
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, changed: str | None = None) -> DataFrame:
     """The rows of ``df`` with their texts cut: a text that loses nothing stays as it is, else its words are joined by a space.
 
-    Texts that lose all their words become empty.
+    Texts that lose all their words become empty. Columns of any name stay as they are; ``changed`` names a new
+    one that says whether the text lost words.
     """
     _, decisions, hit = repeats(df, id_col, text_col, width)
     # an id can repeat, so the text's hash goes with it
-    cut = decisions.filter("twin").select("id", "whole", F.lit("").alias("_kept"))
-    cut = cut.union(decisions.join(left_of(hit), "judge").select("id", "whole", F.col("kept").alias("_kept"))).distinct()
+    cut = decisions.filter("twin").select("id", "whole", F.lit("").alias("kept"))
+    cut = cut.union(decisions.join(left_of(hit), "judge").select("id", "whole", "kept")).distinct()
+    names = [free_name(df, n) for n in ("_id", "_whole", "_kept")]
     words = F.array_join(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), " ")
-    keyed = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_whole", F.unhex(F.sha2(words.cast("binary"), 256)))
-    out = keyed.join(cut.select(F.col("id").alias("_id"), F.col("whole").alias("_whole"), "_kept"), ["_id", "_whole"], "left")
-    return out.withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*df.columns)
+    keyed = df.withColumn(names[0], F.col(id_col).cast("long")).withColumn(names[1], F.unhex(F.sha2(words.cast("binary"), 256)))
+    out = keyed.join(cut.toDF(*names), names[:2], "left")
+    if changed:
+        out = out.withColumn(changed, F.col(names[2]).isNotNull())
+    return out.withColumn(text_col, F.coalesce(names[2], F.col(text_col))).select(*df.columns, *([changed] if changed else []))
 
 
 def suspect_windows(text, cells, width, hashes):
