@@ -461,22 +461,71 @@ def test_html_marks():
     assert read("<main><article class='post comments-open'><p>a</p><section class='comment-list'><article class='comment'>no</article></section></article></main>") == "a"
     assert read("<header>no</header><article><header><h1>t</h1></header><aside>no</aside><form>no</form><p hidden>no</p><p>a<p>b</article><div>no</div>") == "t\na\nb"
     assert read("<article><!-- <p>no --><ul><li>x<li>y</ul>tail &eacute;&#33;</article>") == "x\ny\ntail é!"
+    assert read("<article><p>see <span class='comment'>note</span> ok</p><p>more</p><p>and more</p></article>") == "see note ok\nmore\nand more"
+    for wrapper in ("class='layout has-sidebar'", "id='page-with-nav'", "class='ad-free'", "class='content login-required'", "class='sidebar'", "id='menu'", "class='site-header ads'"):
+        assert read(f"<div {wrapper}><article><p>kept</p></article></div>") == "kept", wrapper
+    assert read("<form id=f><div class=nav><article><p>kept</p></article></div></form>") == "kept"
+    assert read("<div class='sidebar'><article>other</article></div><article>own<div class='related-work'>kept</div><div class=related>no</div></article>") == "own\nkept"
+    assert read("<div>text<div class=ads>no</div><div class=menu>hinted only</div></div><nav>no</nav>") == "text\nhinted only"
+
+
+def brute_main_texts(pages):
+    """Pages without an article of one host, from all substrings of all distinct pages."""
+    parsed = [html_extract.blocks_of(p) for p in pages]
+    on = defaultdict(set)
+    for blocks in parsed:
+        tokens = html_extract.stream_of(blocks)[0]
+        for a in range(len(tokens) - html_extract.LONG + 1):
+            on[tuple(tokens[a : a + html_extract.LONG])].add(tuple(blocks))
+    out = []
+    for blocks in parsed:
+        tokens, ends = html_extract.stream_of(blocks)
+        inside = [False] * len(tokens)
+        for a in range(len(tokens) - html_extract.LONG + 1):
+            if len(on[tuple(tokens[a : a + html_extract.LONG])]) >= html_extract.PAGES:
+                inside[a : a + html_extract.LONG] = [True] * html_extract.LONG
+        share = [sum(inside[a + 1 : b]) / (b - a - 1) for a, b in zip([0, *ends], ends)]
+        out.append("\n".join(t for (k, t), s in zip(blocks, share) if k != "away" and s < (0.5 if k == "hinted" else 0.9)))
+    return out
 
 
-def test_suffix_array_coverage():
+@pytest.mark.parametrize("group", [1 << 20, 600])
+def test_html_by_host(spark, monkeypatch, group):
+    """Pages without an article on hosts of one and of many groups, on one of two pages and on one of a single page; menus on few pages go, planted texts stay."""
+    monkeypatch.setattr(html_extract, "GROUP", group)
+    rng, rows, planted = random.Random(3), [], {}
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))
+    for host, n in (("big", 60), ("two", 2), ("one", 1)):
+        menus = [" ".join(word() for _ in range(12)) for _ in range(6)]
+        notices = [" ".join(word() for _ in range(20)) for _ in range(4)]
+        for i in range(n):
+            body = [" ".join(word() for _ in range(rng.randint(5, 40))) for _ in range(4)]
+            # a menu is on a tenth of the pages, a notice without a mark on about two
+            menu, notice = menus[i % 6 if host == "big" else 0], notices[i] if host == "big" and i < 4 else notices[i - 4] if host == "big" and i < 8 else ""
+            page = f"<div>{menu}</div><div class='notice'>{notice}</div>" + "".join(f"<p>{b}</p>" for b in body) + f"<div class=comments>{word()}</div><footer>{word()}</footer>"
+            planted[len(rows)] = "\n".join(([menu] if host == "one" else []) + body)
+            rows.append((len(rows), f"http://{host}.example/{i}", page))
+    rows += [(100, *rows[0][1:]), (101, *rows[0][1:])]
+    planted |= {100: planted[0], 101: planted[0]}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == planted
+    for host in ("big", "two", "one"):
+        mine = [r for r in rows if f"//{host}." in r[1]]
+        assert [got[r[0]] for r in mine] == brute_main_texts([r[2] for r in mine]) == html_extract.main_texts([r[2] for r in mine])
+
+
+def test_suffix_array_substrings():
     rng = np.random.default_rng(1)
-    streams = [rng.integers(1, 4, rng.integers(0, 60)) for _ in range(12)]
-    for long, pages in ((3, 2), (5, 3)):
+    streams = [[str(x) for x in rng.integers(1, 4, rng.integers(0, 60))] for _ in range(12)]
+    for long in (3, 5):
         seen = defaultdict(set)
         for i, s in enumerate(streams):
             for a in range(len(s) - long + 1):
                 seen[tuple(s[a : a + long])].add(i)
-        for s, cover in zip(streams, html_extract.coverage(streams, long, pages)):
-            want = np.zeros(len(s), bool)
-            for a in range(len(s) - long + 1):
-                if len(seen[tuple(s[a : a + long])]) >= pages:
-                    want[a : a + long] = True
-            assert (cover == want).all()
+        known = {}
+        want = {int(html_extract.window_hashes(list(w), long, known)[0]): len(v) for w, v in seen.items()}
+        hashes, pages = html_extract.substrings(streams, long)
+        assert dict(zip(hashes.tolist(), pages.tolist())) == want and len(hashes) == len(want) == len(seen)
 
 
 def test_webp_round_trips():
