@@ -22,9 +22,15 @@ def positional(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 
 
 def better_count(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """1 + how many are strictly better, and out of how many."""
+    """1 + how many are strictly better, and out of how many.
+
+    Equal values are counted first, so the windows see different values only and no task sorts a whole key's rows.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
-    return df.withColumn("rank", F.rank().over(w.orderBy(value)).cast("long")).withColumn("total", F.count("*").over(w))
+    before = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    places = counts.select(*(F.col(c).alias(f"_{c}") for c in (*keys, value)), (F.coalesce(before, F.lit(0)) + 1).alias("rank"), F.sum("_n").over(w).alias("total"))
+    return df.join(places, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, value)]).select(*df.columns, "rank", "total")
 
 
 def top_n(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataFrame:
