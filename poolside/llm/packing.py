@@ -6,8 +6,8 @@ that token's id; the parts between are encoded each for itself. Documents of ove
 
 The rest is dealt into shares of about ``SHARE`` pieces by a hash, and a share's packings evolve on islands
 (tasks of their own). Crossover injects well-filled bins of one parent whole into the other, removes the bins
-that would hold a piece twice, and puts displaced pieces where they fit best; mutation empties the least
-filled bins. After each epoch an island's elite goes to the next one. A share that needs no more bins than
+that would hold a piece twice, and lets displaced pieces take the place of smaller ones where that fills a bin
+better, then puts the rest where they fit best; mutation empties the least filled bins. After each epoch an island's elite goes to the next one. A share that needs no more bins than
 its total length asks for stops at once. Badly filled bins of all shares are then packed again together, in
 ever fewer shares.
 
@@ -20,6 +20,7 @@ import json
 import random
 import re
 import zlib
+from bisect import bisect, insort
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from poolside.llm.common import record_batches, rows_of, staged, text_rows
 
 #: Pieces of a share; islands a share evolves on; epochs between migrations; generations of an epoch.
-SHARE, ISLANDS, EPOCHS, GENERATIONS = 4096, 2, 2, 6
+SHARE, ISLANDS, EPOCHS, GENERATIONS = 4096, 2, 2, 12
 #: A bin filled less goes on to the next level.
 FILLED = 0.97
 
@@ -175,6 +176,46 @@ class Packing:
             mask |= 1 << room - n
         return self
 
+    def refilled(self, displaced: list[int], rng: random.Random) -> Packing:
+        """Displaced pieces take the place of smaller pieces, or pairs, where that fills a bin better; what is left then goes where it fits best."""
+        lengths, capacity = self.lengths, self.capacity
+        out = sorted((lengths[i], i) for i in displaced)
+        for k in rng.sample(range(len(self.bins)), len(self.bins)):
+            b, room = self.bins[k], capacity - self.fill[k]
+            if not room or not out:
+                continue
+            best = (0, (), ())
+            leaving = [(lengths[i], (i,)) for i in b]
+            if len(b) <= 12:
+                leaving += [(lengths[b[x]] + lengths[b[y]], (b[x], b[y])) for x in range(len(b)) for y in range(x)]
+            for gone, items in leaving:
+                free = gone + room
+                at = bisect(out, (free, 1 << 62)) - 1
+                if at >= 0 and out[at][0] - gone > best[0]:
+                    best = (out[at][0] - gone, items, (at,))
+                if best[0] < room and len(items) == 2 and len(out) > 1:
+                    # two for two
+                    low, high = 0, len(out) - 1
+                    while low < high:
+                        both = out[low][0] + out[high][0]
+                        if both > free:
+                            high -= 1
+                        else:
+                            if both - gone > best[0]:
+                                best = (both - gone, items, (low, high))
+                            low += 1
+                if best[0] == room:
+                    break
+            if best[0]:
+                _, items, places = best
+                b[:] = [i for i in b if i not in items] + [out[at][1] for at in places]
+                for at in sorted(places, reverse=True):
+                    del out[at]
+                for i in items:
+                    insort(out, (lengths[i], i))
+                self.fill[k] += best[0]
+        return self.put(i for _, i in out)
+
     def cost(self) -> tuple[int, float]:
         """Fewer bins are better, then fuller ones beside emptier ones."""
         return len(self.bins), -sum(f * f for f in self.fill)
@@ -186,13 +227,13 @@ class Packing:
         inside = {i for b in injected for i in b}
         kept = [b for b in self.bins if inside.isdisjoint(b)]
         displaced = [i for b in self.bins if not inside.isdisjoint(b) for i in b if i not in inside]
-        return Packing(self.lengths, self.capacity, [list(b) for b in kept + injected]).put(displaced)
+        return Packing(self.lengths, self.capacity, [list(b) for b in kept + injected]).refilled(displaced, rng)
 
     def mutated(self, rng: random.Random) -> Packing:
         """This packing with its least filled bins and a few others emptied and dealt again."""
         order = sorted(range(len(self.bins)), key=self.fill.__getitem__)
         out = {*order[: max(1, len(order) // 50)], *(rng.randrange(len(order)) for _ in range(max(1, len(order) // 20)))}
-        return Packing(self.lengths, self.capacity, [list(b) for k, b in enumerate(self.bins) if k not in out]).put(i for k in out for i in self.bins[k])
+        return Packing(self.lengths, self.capacity, [list(b) for k, b in enumerate(self.bins) if k not in out]).refilled([i for k in out for i in self.bins[k]], rng)
 
 
 def evolve(lengths: list[int], capacity: int, seeds: list[list[list[int]]], seed: int, generations: int = GENERATIONS, size: int = 4) -> Packing:

@@ -441,6 +441,44 @@ def test_packing(docs, monkeypatch, share):
     assert len(bins) <= (len(best_fit.bins) if share > 1000 else 1.03 * len(best_fit.bins) + 1)
 
 
+def triplets(n, seed):
+    """Pieces that fill n bins of 1000 in threes, which best fit doesn't find."""
+    rng, lengths = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, 750 - a)
+        lengths += [a, b, 1000 - a - b]
+    rng.shuffle(lengths)
+    return lengths
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_evolution_beats_best_fit(seed):
+    lengths = triplets(60, seed)
+    best_fit = packing.Packing(lengths, 1000).put(range(len(lengths)))
+    found = packing.evolve(lengths, 1000, [], seed)
+    assert sorted(i for b in found.bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) == f <= 1000 for b, f in zip(found.bins, found.fill))
+    assert len(found.bins) <= 66 and len(best_fit.bins) >= 69
+    # an elite that came from another island is never lost
+    assert packing.evolve(lengths, 1000, [best_fit.bins, found.bins], seed + 1, 3).cost() <= found.cost()
+
+
+@pytest.mark.parametrize("share", [4096, 90])
+def test_islands_beat_best_fit(spark, monkeypatch, share):
+    monkeypatch.setattr(packing, "SHARE", share)
+    lengths = triplets(100, 7)
+    best_fit = packing.Packing(lengths, 1000).put(range(len(lengths)))
+    rows = packing.packed(spark.createDataFrame(list(enumerate(lengths)), "key long, length long"), 1000).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["bin"]].append((r["place"], lengths[r["key"]]))
+    assert sorted(r["key"] for r in rows) == list(range(len(lengths)))
+    for b in bins.values():
+        assert [p for p, _ in sorted(b)] == list(itertools.accumulate([n for _, n in sorted(b)], initial=0))[:-1] and sum(n for _, n in b) <= 1000
+    assert len(bins) < len(best_fit.bins) - 3
+
+
 def test_html_article_and_host_boilerplate(spark):
     def page(i):
         body = f"<h1>Title {i} &amp; more</h1><p>First  text\n{i} <b>bold</b></p><p>x<br>y</p>"
