@@ -14,8 +14,8 @@ it. Fingerprints of at most ``max_bits`` different bits are linked, and a class
    so a group of n near copies gives n - 1 edges and not n * n.
 5. Edges become stars of their smallest node, by alternating star contraction over written tables.
 
-``one_of_each`` keeps one row of each class. There two fingerprints are linked only if the rows' sketches say,
-too, that their sets of five-word shingles are alike.
+``one_of_each`` keeps one row of each class. It can ask for more: that the rows' sketches, too, say that their
+sets of five-word shingles are alike.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows whose id is null get a
 fingerprint, and the class of their fingerprint; a class without any id is null. Repeated rows stay.
@@ -40,7 +40,7 @@ CHUNK = 4096
 #: Nodes of a bucket, about; groups of segments that name buckets, at most.
 BUCKET, GROUPS = 512, 72
 #: Pairs of trie nodes with at most so many leaf pairs are compared leaf by leaf.
-LEAF_PAIRS = 512
+LEAF_PAIRS = 4096
 #: Numbers of 64 bits of a sketch: each bit is that of the least shingle hash of one permutation.
 SKETCH = 4
 SKETCHED = tuple(f"s{k}" for k in range(SKETCH))
@@ -272,23 +272,25 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 8, similarity: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 5, similarity: float | None = None) -> DataFrame:
     """One row of ``df`` for each class: that of the smallest id, then text hash, then row number. Rows whose id is null can't be compared and stay.
 
-    Links have at most ``max_bits`` different bits in fingerprints of ``words``-word shingles, and sketches of their
-    five-word shingles that can be those of sets of ``similarity`` (a standard deviation and a half is allowed for).
+    Links have at most ``max_bits`` different bits in fingerprints of ``words``-word shingles. With ``similarity``
+    they have sketches of five-word shingles, too, that can be those of sets so alike (a standard deviation and a
+    half is allowed for), which a wider ``max_bits`` needs.
     Rows are told apart by a written number and not by their ids, so different texts with one id are judged each
     for itself, and what is computed again after a loss chooses the same rows. Columns of any name stay as they are.
     """
     number = free_name(df, "_row")
-    bits = 64 * SKETCH
-    apart = (1 - similarity) / 2
-    apart_most = round(bits * apart + 1.5 * (bits * apart * (1 - apart)) ** 0.5)
+    more, apart_most = (), None
+    if similarity is not None:
+        bits, apart = 64 * SKETCH, (1 - similarity) / 2
+        more, apart_most = SKETCHED, round(bits * apart + 1.5 * (bits * apart * (1 - apart)) ** 0.5)
     numbered = staged(df.withColumn(number, F.monotonically_increasing_id()))
     texts = numbered.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
-    rows = staged(with_prints(texts.withColumn("hash", F.xxhash64("text")), ("row", "id", "hash"), words, sketched=True))
-    by_print = staged(rows.groupBy("fp", *SKETCHED).agg(F.min("row").alias("node"), F.min(F.struct("id", "hash", "row")).alias("first")))
-    roots = stars(links(by_print.select("node", "fp", *SKETCHED), max_bits, apart_most))
+    rows = staged(with_prints(texts.withColumn("hash", F.xxhash64("text")), ("row", "id", "hash"), words, sketched=bool(more)))
+    by_print = staged(rows.groupBy("fp", *more).agg(F.min("row").alias("node"), F.min(F.struct("id", "hash", "row")).alias("first")))
+    roots = stars(links(by_print.select("node", "fp", *more), max_bits, apart_most))
     first = by_print.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     keep = staged(first.select(F.col("first.row").alias(number)))
     return numbered.join(keep, number, "left_semi").select(*df.columns).union(numbered.filter(F.col(id_col).isNull()).select(*df.columns))

@@ -263,10 +263,9 @@ def brute_one_of_each(rows):
     """The rows kept: the smallest (id, text hash) of each class of linked rows, and those without an id."""
     with_id = [r for r in rows if r[0] is not None]
     prints, label = [brute_fingerprint(t, 3) for _, t in with_id], list(range(len(with_id)))
-    sketches = [np.array(simhash.sketch(t or "")).view(np.uint64).tolist() for _, t in with_id]
     for a in range(len(prints)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 8 and label[a] != label[b] and sum((x ^ y).bit_count() for x, y in zip(sketches[a], sketches[b])) <= 33:
+            if (prints[a] ^ prints[b]).bit_count() <= 5 and label[a] != label[b]:
                 old, new = label[a], label[b]
                 label = [new if x == old else x for x in label]
     classes = defaultdict(list)
@@ -297,7 +296,7 @@ def test_near_dedup_finds_near_copies(spark):
         for k in rng.sample(range(300), 3 if i % 2 else 100):
             other[k] = "changed"
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=8, similarity=0.8).collect()}
     for i in range(60):
         assert 2 * i in kept
         near, far = near + (i % 2 and 2 * i + 1 not in kept), far + (not i % 2 and 2 * i + 1 not in kept)
