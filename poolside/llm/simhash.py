@@ -14,8 +14,9 @@ it. Fingerprints of at most ``max_bits`` different bits are linked, and a class
    so a group of n near copies gives n - 1 edges and not n * n.
 5. Edges become stars of their smallest node, by alternating star contraction over written tables.
 
-``one_of_each`` keeps one row of each class. It can ask for more: that the rows' sketches, too, say that their
-sets of five-word shingles are alike.
+``one_of_each`` keeps one row of each class. Its fingerprints are those of a text's distinct words, which near
+copies share more of than of their shingles, and links need sketches, too, that say that the sets of five-word
+shingles are alike. Its buckets are named alike at every size, so what is shuffled grows in proportion.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows whose id is null get a
 fingerprint, and the class of their fingerprint; a class without any id is null. Repeated rows stay.
@@ -39,8 +40,10 @@ from poolside.llm.common import free_name, rows_of, staged, text_rows
 CHUNK = 4096
 #: Nodes of a bucket, about; groups of segments that name buckets, at most.
 BUCKET, GROUPS = 512, 72
-#: Pairs of trie nodes with at most so many leaf pairs are compared leaf by leaf.
-LEAF_PAIRS = 4096
+#: Of at most so many buckets that can be, the large ones' sizes are broadcast (20 bytes each).
+NAMES = 1 << 20
+#: Pairs of trie nodes with at most so many leaf pairs are compared leaf by leaf; pairs of fingerprints in one block.
+LEAF_PAIRS, BLOCK = 4096, 1 << 17
 #: Numbers of 64 bits of a sketch: each bit is that of the least shingle hash of one permutation.
 SKETCH = 4
 SKETCHED = tuple(f"s{k}" for k in range(SKETCH))
@@ -88,14 +91,26 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = 4) -> D
     return with_prints(text_rows(df, id_col, text_col), ("id",), words)
 
 
-def with_prints(rows: DataFrame, names: tuple[str, ...], words: int, sketched: bool = False) -> DataFrame:
-    """The columns ``names`` (longs) of rows with a text, and fp; with their sketch if asked for."""
+def word_fingerprint(text: str, seed: int = 42) -> int:
+    """The fingerprint of a text's distinct words; A-Z are lower-cased."""
+    distinct = set(text.encode("utf-8", "surrogatepass").lower().split())
+    if not distinct:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), "<u8", len(distinct))
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def with_prints(rows: DataFrame, names: tuple[str, ...], words: int | None, sketched: bool = False) -> DataFrame:
+    """The columns ``names`` (longs) of rows with a text, and fp (of distinct words if ``words`` is None); with their sketch if asked for."""
     more = SKETCHED if sketched else ()
 
     def make(batches):
         held = []
         for *values, text in rows_of(batches, *names, "text"):
-            fp = fingerprint(text, words)
+            fp = word_fingerprint(text) if words is None else fingerprint(text, words)
             held.append((*values, fp - (1 << 64) if fp >> 63 else fp, *(sketch(text) if sketched else ())))
             if len(held) == 8192:
                 yield batch(held)
@@ -126,7 +141,7 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, max_bits: int):
         if spent > max_bits:
             continue
         if (b - a) * (d - c) <= LEAF_PAIRS or not fork:
-            step = max(1, (1 << 20) // (d - c))
+            step = max(1, BLOCK // (d - c))
             for at in range(a, b, step):
                 rows, columns = np.nonzero(np.bitwise_count(left[at : min(b, at + step), None] ^ right[None, c:d]) <= max_bits)
                 yield rows + at, columns + c
@@ -171,15 +186,16 @@ def forest(prints: np.ndarray, side: np.ndarray, max_bits: int, sketches: np.nda
     return label
 
 
-def segments(n_nodes: int, max_bits: int) -> list[tuple[int, ...]]:
+def segments(n_nodes: int, max_bits: int, alike: bool = False) -> list[tuple[int, ...]]:
     """Groups of bits so that linked fingerprints agree on at least one group.
 
     With s segments, s - max_bits are untouched by any link, so buckets are named by bits of that many. More nodes
     take more segments, till there would be over ``GROUPS`` groups; few nodes take fewer bits of a segment.
+    ``alike``: two segments name a bucket, whatever the number of nodes.
     """
-    wanted = max(0, n_nodes // BUCKET).bit_length()
-    s = max_bits + 1
-    while 64 * (s - max_bits) // s < wanted and comb(s + 1, max_bits) <= GROUPS:
+    s = max_bits + (2 if alike else 1)
+    wanted = 64 if alike else max(0, n_nodes // BUCKET).bit_length()
+    while not alike and 64 * (s - max_bits) // s < wanted and comb(s + 1, max_bits) <= GROUPS:
         s += 1
     edges = [round(64 * i / s) for i in range(s + 1)]
     groups = (tuple(bit for i in chosen for bit in range(edges[i], edges[i + 1]))[:wanted] for chosen in combinations(range(s), s - max_bits))
@@ -189,15 +205,19 @@ def segments(n_nodes: int, max_bits: int) -> list[tuple[int, ...]]:
 def links(nodes: DataFrame, max_bits: int, apart_most: int | None = None) -> DataFrame:
     """Edges (u > v) that connect the linked ones of ``nodes`` (node, fp; with ``apart_most``, also the sketch)."""
     more = [] if apart_most is None else list(SKETCHED)
-    masks = [sum(1 << b for b in bits) for bits in segments(nodes.count(), max_bits)]
+    groups = segments(0 if more else nodes.count(), max_bits, alike=bool(more))
+    masks = [sum(1 << b for b in bits) for bits in groups]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("node", "fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "value"))
-    sizes = keyed.groupBy("part", "value").agg(F.count("*").alias("size")).filter("size > 1")
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
+    sizes = keyed.groupBy("part", "value").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.coalesce("size", F.lit(1)) / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    if sum(1 << len(bits) for bits in groups) <= NAMES:
+        sized = keyed.join(F.broadcast(sizes.filter(F.col("size") > CHUNK)), ["part", "value"], "left")
+    else:
+        sized = keyed.join(sizes.filter("size > 1"), ["part", "value"])
     pairs = (
-        keyed.join(sizes, ["part", "value"])
-        .select("node", "fp", *more, "part", "value", parts.alias("parts"))
+        sized.select("node", "fp", *more, "part", "value", parts.alias("parts"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("node", "fp", *more, "part", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
@@ -272,12 +292,12 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 5, similarity: float | None = None) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, max_bits: int = 7, similarity: float | None = 0.8) -> DataFrame:
     """One row of ``df`` for each class: that of the smallest id, then text hash, then row number. Rows whose id is null can't be compared and stay.
 
-    Links have at most ``max_bits`` different bits in fingerprints of ``words``-word shingles. With ``similarity``
-    they have sketches of five-word shingles, too, that can be those of sets so alike (a standard deviation and a
-    half is allowed for), which a wider ``max_bits`` needs.
+    Links have at most ``max_bits`` different bits in fingerprints of distinct words (of ``words``-word shingles where
+    given). With ``similarity`` they have sketches of five-word shingles, too, that can be those of sets so alike; a
+    standard deviation and a half is allowed for.
     Rows are told apart by a written number and not by their ids, so different texts with one id are judged each
     for itself, and what is computed again after a loss chooses the same rows. Columns of any name stay as they are.
     """

@@ -259,13 +259,22 @@ def test_sketches_tell_similarity():
             assert abs(1 - 2 * apart / 256 - same) < 0.2
 
 
+def brute_word_print(text):
+    hashes = [xxhash.xxh64_intdigest(w, 42) for w in set(re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()))]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
 def brute_one_of_each(rows):
-    """The rows kept: the smallest (id, text hash) of each class of linked rows, and those without an id."""
+    """The rows kept: the smallest (id, text hash) of each class of linked rows, and those without an id.
+
+    Links have at most 7 different bits in fingerprints of distinct words, and 33 of 256 in sketches.
+    """
     with_id = [r for r in rows if r[0] is not None]
-    prints, label = [brute_fingerprint(t, 3) for _, t in with_id], list(range(len(with_id)))
+    prints, label = [brute_word_print(t) for _, t in with_id], list(range(len(with_id)))
+    sketches = np.array([simhash.sketch(t or "") for _, t in with_id]).view(np.uint64)
     for a in range(len(prints)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 5 and label[a] != label[b]:
+            if (prints[a] ^ prints[b]).bit_count() <= 7 and label[a] != label[b] and np.bitwise_count(sketches[a] ^ sketches[b]).sum() <= 33:
                 old, new = label[a], label[b]
                 label = [new if x == old else x for x in label]
     classes = defaultdict(list)
@@ -287,6 +296,24 @@ def test_near_dedup_stage(docs, spark):
     assert (5, b) in brute_one_of_each(own) and (5, a) not in brute_one_of_each(own)
 
 
+def test_near_dedup_splits_large_buckets(docs, spark, monkeypatch):
+    """Buckets dealt out in chunks, with their sizes broadcast or joined, keep the same rows."""
+    rows = docs[0] + [(10**6 + d, t + f" tail {d}") for d, t in docs[0][:100] if d is not None and t]
+    df, kept = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for chunk, names in ((4096, 1 << 20), (3, 1 << 20), (3, 0)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "NAMES", names)
+        kept.append(sorted((r["doc_id"] or -1, r["text"] or "") for r in simhash.one_of_each(df).collect()))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) < len(rows)
+
+
+def test_named_alike_at_every_size():
+    groups = simhash.segments(0, 7, alike=True)
+    assert groups == simhash.segments(10**9, 7, alike=True) and len(groups) == 36
+    for apart in (set(range(7)), set(range(0, 63, 9)), {63, 1, 8, 20, 33, 41, 50}):
+        assert any(apart.isdisjoint(g) for g in groups)
+
+
 def test_near_dedup_finds_near_copies(spark):
     """Copies with Jaccard similarity of 0.85 or more go in nine of ten cases or more; texts that share under half stay."""
     rng, rows, near, far = random.Random(9), [], 0, 0
@@ -296,7 +323,7 @@ def test_near_dedup_finds_near_copies(spark):
         for k in rng.sample(range(300), 3 if i % 2 else 100):
             other[k] = "changed"
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=8, similarity=0.8).collect()}
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(60):
         assert 2 * i in kept
         near, far = near + (i % 2 and 2 * i + 1 not in kept), far + (not i % 2 and 2 * i + 1 not in kept)
