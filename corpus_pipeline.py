@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates (5 bits of three-word fingerprints): that of the smallest id, then text hash, then row."""
+    """Keeps one document of each class of near duplicates (7 bits of fingerprints of words, and five-word shingles alike by 0.8 or more): that of the smallest id, then text hash, then row."""
     return one_of_each(docs)
 
 
