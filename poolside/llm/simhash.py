@@ -313,4 +313,5 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     roots = stars(links(by_print.select("node", "fp", *more), max_bits, apart_most))
     first = by_print.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     keep = staged(first.select(F.col("first.row").alias(number)))
-    return numbered.join(keep, number, "left_semi").select(*df.columns).union(numbered.filter(F.col(id_col).isNull()).select(*df.columns))
+    # what is kept grows with the input, so it isn't broadcast at any size
+    return numbered.join(keep.hint("merge"), number, "left_semi").select(*df.columns).union(numbered.filter(F.col(id_col).isNull()).select(*df.columns))
