@@ -11,6 +11,8 @@ Séries
 RAHMOUNI, Mahdi 12 Union Sportf Biskra 28.23 350
 h.c. RAHMOUNI, Mahdi 12 Union Sportf Biskra 28.23 350
 disq. TAIBI, Abderraouf 10 Club B 30.31
+forfait  ZIDI, Omar 11 Club 2000
+NC. NADIR, Sami 09 MCA 30.00
 Finale
 1. BENBARA, MEHDI NAZIM 98 MC ALGER 22.50 710
 Epreuve 2 Dames
@@ -29,6 +31,8 @@ def test_books(spark):
         (*first, "Heats", 5, "Mahdi RAHMOUNI", 2012, "Union Sportf Biskra", 2823, 350, "OK"),
         (*first, "Heats", 0, "Mahdi RAHMOUNI", 2012, "Union Sportf Biskra", 2823, 350, "HC"),
         (*first, "Heats", 0, "Abderraouf TAIBI", 2010, "Club B", 0, 0, "DSQ"),
+        (*first, "Heats", 0, "Omar ZIDI", 2011, "Club 2000", 0, 0, "DNS"),
+        (*first, "Heats", 0, "Sami NADIR", 2009, "MCA", 3000, 0, "OK"),
         (*first, "Finals", 1, "Mehdi Nazim BENBARA", 1998, "MC ALGER", 2250, 710, "OK"),
         ("200 M Individual Medley", "F", "", 1, "Lina HADDAD", 2004, "GS", 14594, 600, "OK"),
     ]

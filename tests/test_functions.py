@@ -61,11 +61,11 @@ def test_age(spark):
     [
         (events.stroke, "NAGE LIBRE", "Freestyle"), (events.stroke, "4 NAGES", "Individual Medley"), (events.stroke, "4 na ges", "Individual Medley"), (events.stroke, "Brasse", "Breaststroke"),
         (events.stroke, "Dos", "Backstroke"), (events.stroke, "Papillon", "Butterfly"), (events.stroke, " Diving ", "Diving"),
-        (events.distance, "4x200m Freestyle", 800), (events.distance, "4 × 50 NL", 200), (events.distance, "100 metres dos", 100), (events.distance, "200 libre", 200), (events.distance, "final", 0),
+        (events.distance, "4x200m Freestyle", 800), (events.distance, "4 × 50 NL", 200), (events.distance, "100 metres dos", 100), (events.distance, "200 libre", 200), (events.distance, "final", 0), (events.distance, "Epreuve 7 100m Brasse", 100), (events.distance, "50 papillon", 50), (events.distance, None, 0),
         (events.gender, "Women 50m", "F"), (events.gender, "Messieurs", "M"), (events.gender, "Mixed", ""),
         (events.category, "JUNIORS SENIORS", "Seniors/Juniors"), (events.category, "MINIMES", "Minimes"), (events.category, "toutes  catégories", "Toutes Catégories"), (events.category, "foo juniors", "Foo Juniors"), (events.category, None, ""),
         (events.source_rank, "1er", 1), (events.source_rank, "DSQ", None), (events.source_rank, "0", None), (events.band, "Open", ""), (events.band, "Cadets", "Cadets"),
-        (events.relay_name, "4x100 M Freestyle Relay Men", "4x100 M Freestyle Relay"), (events.relay_name, "4×100 M Medley Relay", "4x100 M Medley Relay"), (events.relay_name, "4x50 M Medley Relay Mixed", "4x50 M Medley Relay Mixed"),
+        (events.relay_name, "4x100 M Freestyle Relay Men", "4x100 M Freestyle Relay"), (events.relay_name, "Dames 4x50 M  Medley Relay (Women)", "4x50 M Medley Relay"), (events.relay_name, "4x50 M Mixte Relay", "4x50 M Relay Mixed"), (events.relay_name, "4×100 M Medley Relay", "4x100 M Medley Relay"), (events.relay_name, "4x50 M Medley Relay Mixed", "4x50 M Medley Relay Mixed"),
     ],
 )
 def test_book_text(spark, function, text, expected):
