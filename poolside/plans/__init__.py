@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolside.plans import clean, histories, lists, matching, medals, meets, rankings, swimmers, teams
+from poolside.plans import clean, histories, lists, matching, medals, meets, rankings, swimmers, teams, written
 from poolside.sources.tpch import SWIMS_SQL, Meets
 
-MODULES = (rankings, medals, meets, swimmers, teams, clean, lists, histories, matching)
+MODULES = (rankings, medals, meets, swimmers, teams, clean, lists, histories, matching, written)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolside import refdata
-from poolside.functions import events, names, times
+from poolside.functions import events, names, times, written
 
 
 def value(spark, column):
@@ -88,3 +88,29 @@ def test_event_name(spark):
 )
 def test_bands(spark, a, b, conflict):
     assert value(spark, events.bands_conflict(F.lit(a), F.lit(b))) == conflict
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [("DORA BUKLU", "Dora BUKLU"), ("Malak MEQDAR", "Malak MEQDAR"), ("maha van der al shehhi", "Maha VAN DER AL SHEHHI"), ("john mcdonald", "John MCDONALD"), ("louis xiv d'alger smith", "Louis XIV D'Alger SMITH"), ("abdul", "Abdul"), ("", ""), (None, "")],
+)
+def test_swimmer_name(spark, text, expected):
+    assert value(spark, written.swimmer_name(F.lit(text).cast("string"))) == expected
+
+
+@pytest.mark.parametrize(
+    ("texts", "metres", "expected"),
+    [
+        (["50m: 00:25.77", "100m 54.00", "x", ""], 100, [(50, 2577, None), (100, 2823, 246)]), (["25.77", "54.00"], 100, [(50, 2577, None), (100, 2823, 246)]),
+        (["25.77 (50m)", "1:06.56 (100m)"], 0, [(50, 2577, None), (100, 4079, 1502)]), (["25.77", "54.00", "1:20.00"], 100, [(None, 2577, None), (None, 2823, 246), (None, 2600, -223)]), ([], 100, []), (None, 100, None),
+    ],
+)
+def test_laps(spark, texts, metres, expected):
+    column = F.lit(None).cast("array<string>") if texts is None else F.array(*map(F.lit, texts)).cast("array<string>")
+    got = value(spark, written.laps(written.split_times(column, F.lit(metres))))
+    assert (got and [tuple(r) for r in got]) == expected
+
+
+def test_relay_legs_text(spark):
+    got = value(spark, written.relay_legs(F.array(F.lit("Ali TAMER SAYED 0:50.38"), F.lit(" Sami 49.10 "), F.lit("No Time"), F.lit(""))))
+    assert [tuple(r) for r in got] == [("Ali TAMER SAYED", 5038), ("Sami", 4910), ("No Time", 0), ("", 0)]
