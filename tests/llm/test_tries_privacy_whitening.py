@@ -259,7 +259,7 @@ def test_whitening_widens_only_flat_spectra(spark, monkeypatch):
     for decay, wide in ((1.2, 12), (0.01, 40)):
         shapes.clear()
         data = rng.standard_normal((300, 40)) * 400 * np.exp(-decay * np.arange(40))
-        whitening.whiten(spark.createDataFrame(vectors([(i, v.tolist()) for i, v in enumerate(data)]), VECTORS), components=6, oversampling=6)
+        whitening.whiten(spark.createDataFrame(vectors([(i, v.tolist()) for i, v in enumerate(data)]), VECTORS), components=6, oversampling=6, passes=6)
         assert max((s[0] - 1) // 40 for s in shapes[1:-1]) == wide
 
 
