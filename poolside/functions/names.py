@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters that part words of a team's name, and what it can end with, in the order of removal.
 PUNCTUATION = r"[-_.,/\\'’`´&()]+"
-#: What a team's name can end with, in the order of removal.
 SUFFIXES = (r"\s+national team$", r"\s+team\s+[a-d]$", r"\s+team$", r"\s+[a-d]$", r"\s+\d{1,2}$")
 
 

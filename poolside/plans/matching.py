@@ -6,45 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolside.functions import resolve
-from poolside.functions.names import match_key, sorted_key, team_key
+from poolside.functions.names import team_key
 from poolside.functions.times import format_centiseconds
+from poolside.operators.importing import match_profiles
 from poolside.plans.rankings import TIME
 from poolside.sources.tpch import Meets, sql_text
 
 
-def match_swimmers(parsed: DataFrame, swimmers: DataFrame) -> DataFrame:
-    """row, swimmer_id (null if new), confidence, match for parsed rows (row, name, birth_year, club).
-
-    Candidates have the same name without regard to case, else the same key, else the same words. With a year:
-    those of that year (of several, that of the same club, else the first), else the first of a year at most one
-    apart (100) or of no known year (95), else a new swimmer. Without a year the first candidate (95).
-    Candidates are first summed up to classes, so a frequent name costs a few rows and not all its pairs.
-    """
-    keys = F.array(F.lower("name"), match_key(F.col("name")), sorted_key(F.col("name")))
-    parsed, swimmers = (df.withColumn("club", team_key(F.col("club"))).withColumn("birth_year", F.col("birth_year").cast("int")) for df in (parsed, swimmers))
-    known = swimmers.select("swimmer_id", "birth_year", "club", F.posexplode(keys).alias("tier", "key"))
-    year = F.col("birth_year")
-    classes = F.array(
-        F.struct(F.lit("any").alias("kind"), F.lit(None).cast("int").alias("year"), F.lit("").alias("club")),
-        F.struct(F.when(year.isNull(), "unknown").otherwise("year").alias("kind"), year.alias("year"), F.lit("").alias("club")),
-        F.struct(F.when(year.isNotNull(), "club").alias("kind"), year.alias("year"), F.col("club").alias("club")),
-    )
-    known = known.select("tier", "key", "swimmer_id", F.explode(classes).alias("c")).filter("c.kind is not null")
-    known = known.groupBy("tier", "key", F.concat_ws("|", "c.kind", "c.year", "c.club").alias("class")).agg(F.min("swimmer_id").alias("swimmer_id"))
-    ask = lambda kind, y, club, order, score: F.named_struct(F.lit("class"), F.concat_ws("|", F.lit(kind), y, club), F.lit("order"), F.lit(order), F.lit("score"), F.lit(score))
-    none = F.lit(None).cast("int")
-    club = F.col("club")
-    dated = F.array(
-        ask("club", year, club, 0, 100), ask("year", year, F.lit(""), 1, 100), ask("year", year - 1, F.lit(""), 2, 100), ask("year", year + 1, F.lit(""), 2, 100), ask("unknown", none, F.lit(""), 2, 95), ask("any", none, F.lit(""), 3, 0)
-    )
-    asked = parsed.select("row", F.when(year.isNotNull(), dated).otherwise(F.array(ask("any", none, F.lit(""), 1, 95))).alias("asks"), F.posexplode(keys).alias("tier", "key"))
-    asked = asked.select("row", "tier", "key", F.explode("asks").alias("ask")).select("row", "tier", "key", "ask.*")
-    hits = asked.join(known, ["tier", "key", "class"]).groupBy("row").agg(F.min(F.struct("tier", "order", "swimmer_id", "score")).alias("hit"))
-    found = F.col("hit.score") > 0
-    out = parsed.select("row").join(hits, "row", "left")
-    return out.select("row", F.when(found, F.col("hit.swimmer_id")).alias("swimmer_id"), F.when(found, F.col("hit.score")).otherwise(0).alias("confidence"), F.when(found, "exact").otherwise("new").alias("match"))
-
-
 CLUBS = ("North", "South", "East", "West")
 
 
@@ -56,12 +24,22 @@ def matched(m: Meets) -> DataFrame:
     known = people.select("swimmer_id", name.alias("name"), "birth_year", club.alias("club"))
     written = F.when(i % 3 == 0, F.upper(name)).when(i % 3 == 1, F.replace(name, F.lit("#"), F.lit(" - "))).otherwise(F.concat(F.substring_index(name, "#", -1), F.lit(" "), F.lower(F.substring_index(name, "#", 1))))
     year = F.when(i % 5 != 0, F.col("birth_year") + F.element_at(F.array(*map(F.lit, (1, 0, -1, 5))), F.greatest(i % 5, F.lit(1)).cast("int")))
-    return match_swimmers(people.select(i.alias("row"), written.alias("name"), year.alias("birth_year"), F.upper(club).alias("club")), known)
+    rows = people.select(i.alias("row"), written.alias("name"), year.alias("birth_year"), F.upper(club).alias("club"), F.lit("").alias("category"), F.lit(None).cast("date").alias("date"))
+    return match_profiles(rows, known.withColumn("is_relay_team", F.lit(False)), m.swims)
+
+
+def country_names(countries: DataFrame, aliases: dict[str, str] = resolve.COUNTRY_ALIASES) -> DataFrame:
+    """candidate, nationality_id: codes, names and aliases of countries; an alias wins over a name, and a name over a code."""
+    of_code = F.upper("code")
+    rows = countries.select(F.explode(F.array(F.struct(F.lit(2).alias("order"), of_code.alias("candidate")), F.struct(F.lit(1).alias("order"), F.upper("country").alias("candidate")))).alias("x"), "nationality_id").select("x.*", "nationality_id")
+    alias = F.create_map(*(F.lit(x) for code in sorted(set(aliases.values())) for x in (code, [a for a, c in aliases.items() if c == code])))
+    more = countries.select(F.lit(0).alias("order"), F.explode(F.try_element_at(alias, of_code)).alias("candidate"), "nationality_id")
+    return rows.union(more).groupBy("candidate").agg(F.min(F.struct("order", "nationality_id")).alias("x")).select("candidate", "x.nationality_id")
 
 
-def resolved_countries(names: DataFrame, countries: DataFrame) -> DataFrame:
-    """``names`` (row, text) with nationality_id, of the first candidate that is a country's name."""
-    known = countries.select(F.upper("country").alias("candidate"), "nationality_id")
+def resolved_countries(names: DataFrame, countries: DataFrame, aliases: dict[str, str] = resolve.COUNTRY_ALIASES) -> DataFrame:
+    """``names`` (row, text) with nationality_id, of the first candidate that is a country's name, code or alias."""
+    known = country_names(countries, aliases)
     each = names.select("row", F.posexplode(resolve.country_candidates(F.col("text"))).alias("place", "candidate"))
     first = each.join(known, "candidate").groupBy("row").agg(F.min_by("nationality_id", "place").alias("nationality_id"))
     return names.join(first, "row", "left")
@@ -78,8 +56,9 @@ JUNK = [("{0}", True), ("{0} 3:40.68", False), ("{0}1a", False), ("{0} 2", True)
 
 
 def spelled(m: Meets) -> DataFrame:
-    """The countries, whose names end in numbers here, with letters in their place."""
-    return m.countries.withColumn("country", F.upper(F.translate("country", "_0123456789", "xbcdfghjklm")))
+    """The countries, whose names end in numbers here, with letters in their place; codes are the last two and a Q, so each has its own."""
+    named = m.countries.withColumn("country", F.upper(F.translate("country", "_0123456789", "xbcdfghjklm")))
+    return named.withColumn("own_code", F.concat(F.lit("Q"), F.right("country", F.lit(2))))
 
 
 def written(m: Meets, forms: list[str]) -> DataFrame:
@@ -94,11 +73,25 @@ def countries_found(m: Meets) -> DataFrame:
     return resolved_countries(rows, spelled(m)).select("row", "nationality_id")
 
 
+#: How sources write a country's code, and whether it is found: as it is, with points and spaces, under an older code, of a federation.
+CODES = [("{1}", True), (" {1} ", True), ("{1}.", True), ("{1} Swimming Federation", True), ("{1} National Team", True), ("{1}-AD", True), ("{1} Club", False), ("old {1}", True), ("X{1}", False)]
+
+
+def countries_by_code(m: Meets) -> DataFrame:
+    """Codes as sources write them: also in small letters, with points between letters, and by an alias of each."""
+    known = spelled(m).drop("code").withColumnRenamed("own_code", "code")
+    texts = [F.lower(F.format_string(f.replace("{1}", "%1$s"), "code")) for f, _ in CODES] + [F.concat_ws(".", *(F.substring("code", k, 1) for k in (1, 2, 3)))]
+    rows = known.select("nationality_id", F.posexplode(F.array(*texts)).alias("form", "text")).select((F.col("nationality_id") * 100 + F.col("form")).alias("row"), "text")
+    # an alias for each country, as sources use older codes
+    names = known.select(F.concat(F.lit("OLD "), F.upper("code")).alias("country"), "code", "nationality_id")
+    return resolved_countries(rows, known.select("country", "code", "nationality_id").union(names.select("country", "code", "nationality_id"))).select("row", "nationality_id")
+
+
 def national_teams(m: Meets) -> DataFrame:
     """The country whose national team a name is."""
     rows = written(m, [f for f, _ in TEAMS]).select("row", team_key(F.col("text")).alias("key"))
     own, code = team_key(F.col("country")), F.lower("code")
-    known = spelled(m).select("nationality_id", F.explode(F.array(own, F.concat_ws(" ", code, own), F.concat_ws(" ", own, code))).alias("key"))
+    known = spelled(m).select("nationality_id", F.explode(F.array(own, code, F.concat_ws(" ", code, own), F.concat_ws(" ", own, code))).alias("key"))
     return rows.join(known, "key", "left").groupBy("row").agg(F.min("nationality_id").alias("nationality_id"))
 
 
@@ -135,6 +128,7 @@ def read_back(m: Meets) -> DataFrame:
 QUERIES = {
     "cl01_matched_swimmers": matched,
     "sc31_countries_found": countries_found,
+    "sc31_countries_by_code": countries_by_code,
     "st09_national_teams": national_teams,
     "st07_relay_teams": relay_teams,
     "st08_valid_teams": valid_teams,
@@ -160,6 +154,7 @@ ranked AS (SELECT *, CASE WHEN y IS NULL THEN 95 WHEN z = y THEN 100 WHEN abs(z
 row_number() OVER (PARTITION BY row ORDER BY CASE WHEN y IS NULL THEN 0 WHEN z = y AND same THEN 0 WHEN z = y THEN 1 WHEN z IS NULL OR abs(z - y) <= 1 THEN 2 ELSE 3 END, swimmer_id) AS k FROM best)
 SELECT r.row, CASE WHEN score > 0 THEN swimmer_id END AS swimmer_id, coalesce(score, 0) AS confidence, CASE WHEN score > 0 THEN 'exact' ELSE 'new' END AS "match" FROM rows_in r LEFT JOIN ranked x ON x.row = r.row AND k = 1""",
     "sc31_countries_found": f"SELECT nationality_id * 100 + form AS row, CASE WHEN ok THEN nationality_id END AS nationality_id FROM countries, (VALUES {flags(WRITTEN)}) AS f(form, ok)",
+    "sc31_countries_by_code": f"SELECT nationality_id * 100 + form AS row, CASE WHEN ok THEN nationality_id END AS nationality_id FROM countries, (VALUES {flags([*CODES, ('', True)])}) AS f(form, ok)",
     "st09_national_teams": f"SELECT nationality_id * 100 + form AS row, CASE WHEN ok THEN nationality_id END AS nationality_id FROM countries, (VALUES {flags(TEAMS)}) AS f(form, ok)",
     "st07_relay_teams": f"SELECT nationality_id * 100 + form AS row, upper(translate(country, '_0123456789', 'xbcdfghjklm')) AS team FROM countries, range(0, {len(SQUADS)}) AS f(form)",
     "st08_valid_teams": f"SELECT nationality_id * 100 + form AS row, ok AS valid FROM countries, (VALUES {flags(JUNK)}) AS f(form, ok)",

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of checkpoints that all machines share, so that what follows reads it and doesn't compute it again."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
+
+
 def upserted(current: DataFrame, new: DataFrame, keys: list[str], better: Column | None = None) -> DataFrame:
     """``current`` with ``new`` put in by key: the new row wins, or the one that comes first by ``better`` (a result's better time)."""
     both = current.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
