@@ -16,7 +16,8 @@ it. Fingerprints of at most ``max_bits`` different bits are linked, and a class
 
 ``one_of_each`` keeps one row of each class. Its fingerprints are those of a text's distinct words, which near
 copies share more of than of their shingles, and links need sketches, too, that say that the sets of five-word
-shingles are alike. Its buckets are named alike at every size, so what is shuffled grows in proportion.
+shingles are alike. Its buckets are named by two segments or more, so what is shuffled grows in proportion but for
+a few steps.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows whose id is null get a
 fingerprint, and the class of their fingerprint; a class without any id is null. Repeated rows stay.
@@ -191,10 +192,14 @@ def segments(n_nodes: int, max_bits: int, alike: bool = False) -> list[tuple[int
 
     With s segments, s - max_bits are untouched by any link, so buckets are named by bits of that many. More nodes
     take more segments, till there would be over ``GROUPS`` groups; few nodes take fewer bits of a segment.
-    ``alike``: two segments name a bucket, whatever the number of nodes.
+    ``alike``: two segments name a bucket until there are ``CHUNK`` nodes for each name, then one more, and so on, so
+    that a bucket is a chunk on average at any size and what is sent grows by steps of a few times for thousands of
+    times the nodes (7 bits: 36 groups to 67 million nodes, 120 to two billion, 330 to 34 billion).
     """
     s = max_bits + (2 if alike else 1)
     wanted = 64 if alike else max(0, n_nodes // BUCKET).bit_length()
+    while alike and n_nodes > CHUNK << 64 * (s - max_bits) // s:
+        s += 1
     while not alike and 64 * (s - max_bits) // s < wanted and comb(s + 1, max_bits) <= GROUPS:
         s += 1
     edges = [round(64 * i / s) for i in range(s + 1)]
@@ -205,7 +210,7 @@ def segments(n_nodes: int, max_bits: int, alike: bool = False) -> list[tuple[int
 def links(nodes: DataFrame, max_bits: int, apart_most: int | None = None) -> DataFrame:
     """Edges (u > v) that connect the linked ones of ``nodes`` (node, fp; with ``apart_most``, also the sketch)."""
     more = [] if apart_most is None else list(SKETCHED)
-    groups = segments(0 if more else nodes.count(), max_bits, alike=bool(more))
+    groups = segments(nodes.count(), max_bits, alike=bool(more))
     masks = [sum(1 << b for b in bits) for bits in groups]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("node", "fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "value"))

@@ -307,10 +307,12 @@ def test_near_dedup_splits_large_buckets(docs, spark, monkeypatch):
     assert kept[0] == kept[1] == kept[2] and len(kept[0]) < len(rows)
 
 
-def test_named_alike_at_every_size():
-    groups = simhash.segments(0, 7, alike=True)
-    assert groups == simhash.segments(10**9, 7, alike=True) and len(groups) == 36
-    for apart in (set(range(7)), set(range(0, 63, 9)), {63, 1, 8, 20, 33, 41, 50}):
+@pytest.mark.parametrize(("n", "n_groups"), [(0, 36), (10**7, 36), (10**9, 120), (10**10, 330)])
+def test_buckets_of_near_copies_stay_chunks(n, n_groups):
+    """Names grow with the nodes, so that a bucket is a chunk on average; any 7 bits leave a group untouched."""
+    groups, rng = simhash.segments(n, 7, alike=True), random.Random(n)
+    assert len(groups) == n_groups and n <= simhash.CHUNK << min(map(len, groups))
+    for apart in (set(range(7)), set(range(0, 63, 9)), {63, 1, 8, 20, 33, 41, 50}, *(set(rng.sample(range(64), 7)) for _ in range(200))):
         assert any(apart.isdisjoint(g) for g in groups)
 
 
