@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from poolside.functions import once
+
 # Characters that part words of a team's name, and what it can end with, in the order of removal.
 PUNCTUATION = r"[-_.,/\\'’`´&()]+"
 SUFFIXES = (r"\s+national team$", r"\s+team\s+[a-d]$", r"\s+team$", r"\s+[a-d]$", r"\s+\d{1,2}$")
@@ -12,15 +14,16 @@ SUFFIXES = (r"\s+national team$", r"\s+team\s+[a-d]$", r"\s+team$", r"\s+[a-d]$"
 
 def team_key(name: Column) -> Column:
     """One key for all spellings of a team: case, punctuation and squad suffixes don't count. Suffixes go until none is left."""
-    key = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), PUNCTUATION, " ")), r"\s+", " "))
 
     def step(k: Column, _: Column) -> Column:
         for suffix in SUFFIXES:
             k = F.trim(F.regexp_replace(k, suffix, ""))
         return k
 
-    # each step that changes anything takes two characters at least
-    return F.when(key.rlike("|".join(SUFFIXES)), F.aggregate(F.sequence(F.lit(0), F.length(key)), key, step)).otherwise(key)
+    # each step that changes anything takes a word at least
+    stripped = lambda k: F.aggregate(F.sequence(F.lit(1), F.size(F.split(k, " "))), k, step)
+    key = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), PUNCTUATION, " ")), r"\s+", " "))
+    return once(key, lambda k: F.when(k.rlike("|".join(SUFFIXES)), stripped(k)).otherwise(k))
 
 
 def strip_squad_number(name: Column) -> Column:

@@ -339,6 +339,7 @@ def import_results(parsed: DataFrame, swimmers: DataFrame, results: DataFrame) -
 
     Results of meets that the batch doesn't touch are passed on as they are.
     """
+    parsed = held(parsed)
     individual = held(resolved(identities(parsed.filter("not is_relay")), swimmers, results))
     relay = held(squads(parsed.filter("is_relay"), swimmers))
     first = lambda df, key: df.filter("match = 'new'").groupBy("swimmer_id").agg(*[F.min(c).alias(c) for c in ("date", "meet_id", "row")], *[F.min_by(c, F.struct("date", "meet_id", "row")).alias(c) for c in key])

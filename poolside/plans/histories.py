@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolside.functions.events import bands_conflict
 from poolside.functions.names import team_key
 from poolside.functions.times import format_centiseconds
 from poolside.operators.filters import ARAB
@@ -84,10 +85,15 @@ def record_swims(swims: DataFrame) -> DataFrame:
 
 
 def band_conflicts(swims: DataFrame, days: int = 400) -> DataFrame:
-    """Swimmers that raced in two categories within ``days``: how often, and when first. Meets of a category count once."""
-    at = swims.filter("category != ''").select("swimmer_id", "category", "date").distinct()
-    other = at.select("swimmer_id", F.col("category").alias("other"), F.col("date").alias("then"))
-    near = at.join(other, "swimmer_id").filter((F.col("category") < F.col("other")) & (F.abs(F.date_diff("date", "then")) <= days))
+    """Swimmers that raced in two categories that exclude each other within ``days``: how often, and when first. Meets of a category count once.
+
+    Days are joined by buckets of ``days``, own and neighbouring ones, so a long career isn't paired with itself.
+    """
+    bucket = F.floor(F.unix_date("date") / days)
+    at = swims.filter("category != ''").select("swimmer_id", "category", "date").distinct().withColumn("bucket", bucket)
+    other = at.select("swimmer_id", F.col("category").alias("other"), F.col("date").alias("then"), F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)])).alias("bucket"))
+    near = at.join(other, ["swimmer_id", "bucket"]).filter((F.col("category") < F.col("other")) & (F.abs(F.date_diff("date", "then")) <= days))
+    near = near.filter(bands_conflict(F.col("category"), F.col("other")))
     return near.groupBy("swimmer_id").agg(F.count("*").alias("conflicts"), F.min(F.least("date", "then")).alias("first"))
 
 
