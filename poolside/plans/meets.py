@@ -82,6 +82,20 @@ def deciding(swims: DataFrame) -> DataFrame:
     return deciding_round(swims, "meet_id", "event_id").groupBy("meet_id", "event_id", "sex", "round_type").agg(F.count("*").alias("results"), F.min("time_cs").alias("best"))
 
 
+RESULT_ROWS = ("meet_id", "event_id", "sex", "round_type", "category", "swimmer_id", "team", "time_cs", "points", "is_hc")
+
+
+def deciding_rows(swims: DataFrame) -> DataFrame:
+    """The results that decide an event: those of its finals, else those of no round where there are any, else all.
+
+    Which rounds an event has is a row for each, joined; so no task holds an event's results.
+    """
+    key = ["meet_id", "event_id"]
+    rounds = swims.groupBy(*key).agg(F.bool_or(F.col("round_type") == "Finals").alias("finals"), F.bool_or(F.col("round_type") == "").alias("plain"))
+    kept = F.when(F.col("finals"), F.col("round_type") == "Finals").when(F.col("plain"), F.col("round_type") != "Prelims").otherwise(F.lit(True))
+    return swims.select(*RESULT_ROWS).join(rounds, key).filter(kept).select(*RESULT_ROWS)
+
+
 def overview(m: Meets) -> DataFrame:
     """Meets with their host and counts of results and of Arab swimmers."""
     each = m.swims.groupBy("meet_id", "date", "pool", "classification", "host_id").agg(
@@ -104,6 +118,8 @@ QUERIES = {
     "qy14_club_swimmers": swims_of(club_swimmers),
     "qy15_results_by_swimmer": lambda m: m.swims.groupBy("meet_id", "swimmer_id", (F.col("region") != "OTHER").alias("is_arab")).agg(F.count("*").alias("results")),
     "qy16_all_results": swims_of(all_results),
+    "qy16_result_rows": lambda m: m.swims.select(*RESULT_ROWS),
+    "qy17_deciding_rows": swims_of(deciding_rows),
     "qy17_deciding_round": swims_of(deciding),
     "qy18_meet_list": overview,
     "ag17_results_by_month": lambda m: m.swims.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("results"), F.count_distinct("meet_id").alias("meets")),
@@ -129,6 +145,9 @@ SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY meet_id, own
 arg_max(event_id, (points, -time_cs, -event_id)) AS best_event_id, arg_max(time_cs, (points, -time_cs, -event_id)) AS best_cs FROM swims WHERE NOT is_relay GROUP BY ALL""",
     "qy15_results_by_swimmer": "SELECT meet_id, swimmer_id, region <> 'OTHER' AS is_arab, count(*) AS results FROM swims GROUP BY ALL",
     "qy16_all_results": "SELECT meet_id, event_id, sex, round_type, count(*) AS results, string_agg(time_cs::VARCHAR, ' ' ORDER BY time_cs) AS times FROM swims GROUP BY ALL",
+    "qy16_result_rows": f"SELECT {', '.join(RESULT_ROWS)} FROM swims",
+    "qy17_deciding_rows": f"""SELECT {', '.join(RESULT_ROWS)} FROM (SELECT *, bool_or(round_type = 'Finals') OVER (PARTITION BY meet_id, event_id) AS finals, bool_or(round_type = '') OVER (PARTITION BY meet_id, event_id) AS plain FROM swims)
+WHERE CASE WHEN finals THEN round_type = 'Finals' WHEN plain THEN round_type <> 'Prelims' ELSE TRUE END""",
     "qy17_deciding_round": """SELECT meet_id, event_id, sex, round_type, count(*) AS results, min(time_cs) AS best
 FROM (SELECT *, bool_or(round_type = 'Finals') OVER w AS finals, bool_or(round_type = '') OVER w AS plain FROM swims WINDOW w AS (PARTITION BY meet_id, event_id))
 WHERE CASE WHEN finals THEN round_type = 'Finals' WHEN plain THEN round_type <> 'Prelims' ELSE TRUE END GROUP BY ALL""",

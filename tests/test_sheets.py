@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from poolside.functions.dates import meet_days, meet_place
 from poolside.operators import meet_cleanup, meet_warnings
 from poolside.plans.sheets import nationality_changes
 from poolside.sources import sheets
@@ -114,3 +115,21 @@ def test_nationality_changes(spark):
     told = spark.createDataFrame([(1, day(4), 8), (1, day(5), 8), (1, day(9), None), (1, day(12), 9), (1, day(13), 9), (2, day(12), 8), (3, day(9), 8), (3, day(11), 7)], "swimmer_id long, date date, nationality_id int")
     got = sorted(tuple(r) for r in nationality_changes(known, results, told, log).collect())
     assert got == [(1, 7, 8, day(5), day(12)), (1, 8, 9, day(12), None)]
+
+
+DAYS = [
+    ("EL BEZ SETIF, 19 - 22/1/2022", "2022-01-19", "2022-01-22"), ("Hamilton Aquatics Short Course - 21/10/2023 to 22/10/2023", "2023-10-21", "2023-10-22"), ("4EME CHAMPIONNATS ARABE - 28/08/2025 to 01/09/2025 CHAMP ARABE: 25.24 * 25/08/2024 ZYAD", "2025-08-28", "2025-09-01"),
+    ("2nd Open Winter Championship 2025 - 09/05/2025 to 12/05/2025", "2025-05-09", "2025-05-12"), ("Arab Championships - 28-31 August 2025 - Rabat", "2025-08-28", "2025-08-31"), ("Championnat - 10 mai 2026 - Marrakech", "2026-05-10", ""), ("COUPE DU TRONE - 10/05/2026 - MARRAKECH", "2026-05-10", ""),
+    ("20/21-04-2024 Tunis", "2024-04-20", "2024-04-21"), ("Cup 2024, 3 Sept. and 5 sep", "2024-09-03", ""), ("45/13/2024 then 1.2.2024", "2024-02-01", ""), ("no day", "", ""), ("", "", ""), (None, "", ""),
+]
+
+
+def test_days_of_headings(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(DAYS)], "i int, t string")
+    got = {r["i"]: (r["d"]["start"], r["d"]["end"]) for r in df.select("i", meet_days(F.col("t")).alias("d")).collect()}
+    assert got == {i: (a, b) for i, (_, a, b) in enumerate(DAYS)}
+
+
+@pytest.mark.parametrize(("text", "place"), [("EL BEZ SETIF, 19 - 22/1/2022", "EL BEZ SETIF"), ("COUPE DU TRONE - 10/05/2026 - MARRAKECH", "COUPE DU TRONE - MARRAKECH"), ("Arab Championships - 28-31 August 2025 - Rabat", "Arab Championships - Rabat"), ("Results 25 M Tunis, 3 mars 2020", "Tunis"), (None, "")])
+def test_places_of_headings(spark, text, place):
+    assert spark.range(1).select(meet_place(F.lit(text).cast("string")).alias("v")).first()["v"] == place
