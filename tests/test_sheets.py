@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from poolside.functions import headings
 from poolside.functions.dates import meet_days, meet_place
 from poolside.operators import meet_cleanup, meet_warnings
 from poolside.plans.sheets import nationality_changes
@@ -133,3 +134,15 @@ def test_days_of_headings(spark):
 @pytest.mark.parametrize(("text", "place"), [("EL BEZ SETIF, 19 - 22/1/2022", "EL BEZ SETIF"), ("COUPE DU TRONE - 10/05/2026 - MARRAKECH", "COUPE DU TRONE - MARRAKECH"), ("Arab Championships - 28-31 August 2025 - Rabat", "Arab Championships - Rabat"), ("Results 25 M Tunis, 3 mars 2020", "Tunis"), (None, "")])
 def test_places_of_headings(spark, text, place):
     assert spark.range(1).select(meet_place(F.lit(text).cast("string")).alias("v")).first()["v"] == place
+
+
+def test_pools_and_countries(spark):
+    pools = [("Petit bassin", "", "SCM"), ("long course", "x-scm.pdf", "SCM"), ("Event 1 Girls 100 SC Metre Free", None, "SCM"), ("Championnat du Liban 25 M", "", "SCM"), ("50m Libre 25 m", "", "LCM"), ("حوض صغير", "", "SCM"), ("", "", "LCM"), (None, None, "LCM")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pools)], "i int, t string, f string, p string")
+    assert [r["i"] for r in df.filter(headings.pool(F.col("t"), F.col("f")) != F.col("p")).collect()] == []
+    places = [("Coupe du Trone", None, "MAR"), ("Open", "Doha, Jordan", "JOR"), ("Roman Cup", "", "OMA"), ("Open", "Paris", None), (None, None, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "i int, n string, l string, c string")
+    assert [r["i"] for r in df.filter(~headings.meet_country(F.col("n"), F.col("l")).eqNullSafe(F.col("c"))).collect()] == []
+    times = [(1499, 50, False, False), (1500, 50, True, True), (21999, 400, False, True), (2000, 1500, False, False), (0, 100, True, True), (2000, 0, True, True), (18001, 50, True, False)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(times)], "i int, t long, d int, p boolean, b boolean")
+    assert [r["i"] for r in df.filter((headings.plausible(F.col("t"), F.col("d")) != F.col("p")) | (headings.in_bounds(F.col("t"), F.col("d")) != F.col("b"))).collect()] == []
