@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", packing)]
 
-#: SQL can't express the network, the classes' closure and the packing. Tests hold near_dedup's rows against brute force, and the operators of passage_dedup and packing; not yet run()'s rows.
+#: SQL can't express the network, the classes' closure and the packing. Tests hold run()'s rows against brute force on what the language stage keeps.
 ORACLE_SQL = None
 
 

@@ -273,3 +273,52 @@ def test_whitening_of_ragged_and_large(spark):
     got = whitening.whiten(spark.createDataFrame(vectors(rows), VECTORS)).collect()
     assert {r["component"] for r in got} == {1} and len(got) == 4  # the large entry's variance hides the other's
     assert sorted(str(r["vec_id"]) for r in got) == ["2", "3", "4", "None"]
+
+
+def brute_cut(rows, width=50):
+    """(id, text) after passages of ``width`` words that a smaller id has are gone; texts of which nothing is left go."""
+    words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in rows]
+    first = {}
+    for d, w in words:
+        for a in range(len(w) - width + 1):
+            key = tuple(w[a : a + width])
+            first[key] = min(d, first.get(key, d))
+    out = []
+    for (d, text), (_, w) in zip(rows, words):
+        gone = {j for a in range(len(w) - width + 1) if first[tuple(w[a : a + width])] < d for j in range(a, a + width)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        if not gone or kept:
+            out.append((d, kept if gone else text))
+    return out
+
+
+def test_pipeline_rows_are_brute_force(spark, tmp_path):
+    """run()'s pieces are those of the texts that brute force leaves of what the language stage keeps, gaplessly packed."""
+    import public_tokenizers as P
+    import tokenizers
+
+    import corpus_pipeline
+    from tests.llm.test_brute_force import brute_one_of_each, texts
+
+    shared = " ".join(f"passage{i}" for i in range(60))
+    rows = list(enumerate(texts(90, seed=21), 1))
+    rows += [(500 + d, t + " tail") for d, t in rows[:20]] + [(600 + k, f"{texts(1, seed=40 + k)[0]} {shared} end {k}") for k in range(5)] + [(700, None), (701, "12 !!"), (702, shared)]
+    docs = [(d, t, "en" if d % 2 else "de", "s", len(t or "")) for d, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    told = [(r["doc_id"], r["text"]) for r in corpus_pipeline.language_id(spark, table, "").collect()]
+    assert {700, 701}.isdisjoint(d for d, _ in told) and len(told) > 100
+    left = brute_cut(brute_one_of_each(told))
+    assert len(left) < len(told) and sum(len(t.split()) for _, t in left) < sum(len(t.split()) for _, t in brute_one_of_each(told))
+    encoder = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {d: [*encoder.encode(t, add_special_tokens=False).ids, 0] for d, t in left}
+    assert max(map(len, ids.values())) <= 2048
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+    assert got == sorted((d, 0, 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids.items())
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [a for a, _ in sorted(pieces)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
