@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: ``folders``: what this thread's pipeline steps have staged for themselves; ``within``: whether one is at work.
+_steps = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, on this machine alone, one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -37,16 +44,46 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs the tasks that it ran, not the steps before; the files go when the JVM ends.
+    A lost executor then costs the tasks that it ran, not the steps before; the files go when the JVM ends, or
+    as ``pipeline_step`` says.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    if getattr(_steps, "within", False):
+        _steps.folders.append(path)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    system, hadoop = folder(spark, path)
+    system.deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+@contextmanager
+def pipeline_step(docs: DataFrame) -> Iterator[None]:
+    """A step of a pipeline that begins with ``docs``: what earlier steps of this thread staged for themselves goes.
+
+    So the shared folder holds the tables of one step at a time, and not of all steps. Tables that ``docs`` reads
+    stay; anything else that a step has returned is to be written before the next step begins.
+    """
+    spark, before = docs.sparkSession, getattr(_steps, "folders", [])
+    files = docs.inputFiles() if before else []
+    read = {os.path.basename(os.path.dirname(f)) for f in files}
+    _steps.folders = [path for path in before if os.path.basename(path) in read]
+    for path in set(before) - set(_steps.folders):
+        system, hadoop = folder(spark, path)
+        system.delete(hadoop, True)
+    _steps.within = True
+    try:
+        yield
+    finally:
+        _steps.within = False
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, that no column of ``df`` has in any case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -2,13 +2,14 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from poolside.llm import bm25, bpe, html_extract, language_id, license_scan, packing, simhash, substring_dedup, token_count, webp
+from poolside.llm import bm25, bpe, common, html_extract, language_id, license_scan, packing, simhash, substring_dedup, token_count, webp
 
 LONG = "wort und satz mit wörtern " * 20_000
 ROWS = [
@@ -80,6 +81,26 @@ def test_pipeline(spark, tmp_path, rows):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(kept)
 
 
+def test_steps_remove_what_earlier_ones_staged(spark, tmp_path):
+    """A step's tables go when another begins with rows that don't read them, and only those."""
+    def here(df):
+        return {Path(f.removeprefix("file:")).parent for f in df.inputFiles()}
+
+    docs = frame(spark, ROWS)
+    with common.pipeline_step(docs):
+        first = common.staged(docs)
+    outside = common.staged(docs)
+    with common.pipeline_step(first):
+        second = common.staged(first)
+    assert first.count() == second.count() == outside.count() == len(ROWS)
+    gone = here(first) | here(second)
+    assert all(f.exists() for f in gone)
+    outside.write.parquet(f"{tmp_path}/out.parquet")
+    with common.pipeline_step(spark.read.parquet(f"{tmp_path}/out.parquet")):
+        pass
+    assert not any(f.exists() for f in gone) and outside.count() == len(ROWS)
+
+
 OWN = ["score", "lang_pred", "_kept", "_id", "_whole", "_row", "changed", "Kept", "fp", "row"]
 
 
