@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolside.plans import clean, histories, imports, lists, matching, medals, meets, rankings, sheets, swimmers, teams, written
+from poolside.plans import clean, column_books, histories, imports, lists, matching, medals, meets, rankings, sheets, swimmers, teams, written
 from poolside.sources.tpch import SWIMS_SQL, Meets
 
-MODULES = (rankings, medals, meets, swimmers, teams, clean, lists, histories, matching, written, imports, sheets)
+MODULES = (rankings, medals, meets, swimmers, teams, clean, lists, histories, matching, written, imports, sheets, column_books)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
