@@ -1,6 +1,8 @@
 """Workbooks: cells in all their shapes, sheets told apart, columns by their headers; meets' clean-up, splits and warnings."""
 
 import datetime
+import os
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from poolside.functions.dates import meet_days, meet_place
 from poolside.operators import meet_cleanup, meet_warnings
 from poolside.plans.sheets import nationality_changes
 from poolside.sources import sheets
+from poolside.sources.tables import held
 
 
 def cells(spark, *tables, book=1):
@@ -68,6 +71,15 @@ def test_workbook(spark):
     assert sheets.read_sheets(book.limit(0)).collect() == []
 
 
+def test_held_tables_are_small(spark):
+    """What is held is stored by columns, so texts that rows repeat take no space; it reads back as it was."""
+    df = spark.range(20000).selectExpr("id", "'the same words in each row' AS text", "array(named_struct('col', 1, 'cell', 'x')) AS cells")
+    kept = held(df)
+    files = kept.inputFiles()
+    assert files and sum(os.path.getsize(urlparse(f).path) for f in files) < 20000 * 15
+    assert kept.schema.fieldNames() == df.columns and kept.exceptAll(df).isEmpty() and kept.count() == 20000
+
+
 READ = "meet_id long, row long, event_id int, sex string, round_type string, category string, name string, time_cs long, rank int, status string"
 
 
