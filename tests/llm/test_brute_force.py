@@ -580,6 +580,19 @@ def test_html_by_host(spark, monkeypatch, group):
         assert [got[r[0]] for r in mine] == brute_main_texts([r[2] for r in mine]) == html_extract.main_texts([r[2] for r in mine])
 
 
+@pytest.mark.parametrize("group", [1 << 20, 200])
+def test_html_hints_within_articles(spark, monkeypatch, group):
+    """Within an article, what only a class speaks against goes if the host's other pages have it too, also if it is short; what the article alone has stays."""
+    monkeypatch.setattr(html_extract, "GROUP", group)
+    own = "<p>Story {0} of the day</p><p class='share'>The share of company {0} rose by {0} points on the exchange in town</p><section class=search>Search party {0} found it</section>"
+    page = "<nav>Menu</nav><article>" + own + "<div class=share>Share this</div><div class='newsletter'>Get our letter each week for free and read more of it</div><div class=comments>nice {0}</div></article><p>outside {0}</p>"
+    rows = [(i, "https://a.example/x", page.format(i)) for i in range(6)] + [(6, "https://a.example/y", page.format(5)), (7, "https://one.example", page.format(7)), (8, "https://one.example", page.format(7))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = "Story {0} of the day\nThe share of company {0} rose by {0} points on the exchange in town\nSearch party {0} found it"
+    assert got == {**{i: kept.format(min(i, 5)) for i in range(7)}, 7: "Story 7 of the day", 8: "Story 7 of the day"}
+    assert html_extract.main_texts([r[2] for r in rows[:7]]) == [got[i] for i in range(7)]
+
+
 def test_suffix_array_substrings():
     rng = np.random.default_rng(1)
     streams = [[str(x) for x in rng.integers(1, 4, rng.integers(0, 60))] for _ in range(12)]
