@@ -34,6 +34,10 @@ ROUNDS = {"A": "Finals", "N": "Prelims"}
 CLASSES = {0: "Arab", 1: "National", 2: "Other"}
 
 
+#: Lines of a task that joins them to orders and to swimmers. What follows by swimmer runs in the same tasks.
+TASK_LINES = 1 << 18
+
+
 @dataclass
 class Meets:
     """The tables of one folder."""
@@ -67,13 +71,20 @@ class Meets:
             .join(self.countries, "nationality_id")
         )
 
+    @cached_property
+    def tasks(self) -> int:
+        """How many tasks swims are dealt to: as many as the machines run at once, or more, so that none has more than ``TASK_LINES`` or so."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.read("lineitem").count() // TASK_LINES))
+
     @cached_property
     def swims(self) -> DataFrame:
         """A row for each swim: swimmer, country, meet, event, time_cs, points, age and the rest."""
         orders = self.read("orders").select("o_orderkey", F.col("o_custkey").alias("swimmer_id"), F.trunc("o_orderdate", "month").alias("date"), choice(F.col("o_orderpriority"), CATEGORIES, "").alias("category"))
         lines = self.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
         meet = ((F.year("date") - 1992) * 12 + F.month("date")).alias("meet_id")
-        rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("*", meet).join(self.swimmers, "swimmer_id")
+        # numbers of tasks of their own, as adaptive execution puts together what compresses well until a task has too much
+        rows = lines.repartition(self.tasks, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("*", meet)
+        rows = rows.repartition(self.tasks, "swimmer_id").join(self.swimmers, "swimmer_id")
         event = F.when(F.col("is_relay_team"), 19 + F.col("l_partkey") % 5).otherwise((F.col("swimmer_id") + F.col("l_partkey") % 4) % 18 + 1).cast("int").alias("event_id")
         rows = rows.select("*", event).join(F.broadcast(refdata.events(self.spark)), "event_id").withColumn("pool", F.when(F.col("meet_id") % 2 == 0, "LCM").otherwise("SCM"))
         rows = rows.join(F.broadcast(refdata.base_times(self.spark)), ["event_id", "sex", "pool"], "left")

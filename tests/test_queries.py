@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from poolside import plans
 from poolside.operators import filters, ranking
 from poolside.plans import medals, swimmers, teams
+from poolside.sources import tpch
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -85,6 +86,23 @@ def test_prediction(spark):
     assert (r["swimmer_id"], r["seasons"], r["best"], r["delta"], r["trend"]) == (1, 4, 5850, -50.0, "improving")
 
 
+def test_swims_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks that join swims, and what follows by swimmer, have a bounded number of lines, whatever adaptive execution puts together."""
+    monkeypatch.setattr(tpch, "TASK_LINES", 100)
+    m = tpch.Meets(spark, SMALL)
+    lines = m.read("lineitem").count()
+    assert m.tasks == -(-lines // 100) > spark.sparkContext.defaultParallelism
+    # tables of a size that counts are too large to broadcast; these are not
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (m.swims, swimmers.laps(m.swims)):
+            dealt = df.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+            assert len(dealt) > m.tasks // 2 and max(r["count"] for r in dealt) < lines / 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert m.swims.count() == lines
+
+
 def test_islands(spark):
     df = spark.createDataFrame([(1, a) for a in (14, 15, 16, 18)], "swimmer_id int, age int")
     assert sorted((r["from_age"], r["to_age"]) for r in swimmers.age_islands(df).collect()) == [(14, 16), (18, 18)]
