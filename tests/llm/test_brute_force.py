@@ -607,6 +607,19 @@ def test_suffix_array_substrings():
         assert dict(zip(hashes.tolist(), pages.tolist())) == want and len(hashes) == len(want) == len(seen)
 
 
+def test_webp_stages_count(monkeypatch):
+    """What is told of a text comes from its stored samples, read back: without a stage, or with other stored bytes, it differs."""
+    data = webp.payload("Stored as samples, read back. " * 9)
+    media = webp.store(data)
+    told = lambda m: (lambda samples: (samples.tobytes(), webp.feature(samples)))(webp.samples_of([m])[0])
+    assert told(media)[0] == data
+    other = webp.store(data[:100] + b"~" + data[101:])
+    assert other != media and told(other)[0] != data and told(other)[1] != told(media)[1]
+    assert told(media[:-40] + bytes(40))[0] != data
+    monkeypatch.setattr(webp.Image, "inverted", lambda self, pixels: pixels.reshape(self.height, self.width))
+    assert told(media)[0] == bytes(len(data))
+
+
 def test_webp_round_trips():
     rng = np.random.default_rng(1)
     for width, height in ((1, 1), (7, 5), (37, 29)):
