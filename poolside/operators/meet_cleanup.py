@@ -5,8 +5,10 @@ Rows of a read meet: meet_id, row, event_id (any event key), sex, round_type, ca
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolside.functions import events
@@ -16,17 +18,24 @@ EVENT = ["meet_id", "event_id", "sex"]
 HEATS = ("Heats", "Prelims", "Semis")
 
 
+def known(*columns: str) -> Column:
+    """Whether none of the columns is null; null keys are equal to nothing."""
+    return reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in columns))
+
+
 def without_repeats(rows: DataFrame) -> DataFrame:
     """One event for each key, and of rows with the same name, time, rank and status of an event the first: pages read twice."""
-    key = [*EVENT, "round_type", "category", F.upper("name"), "time_cs", "rank", "status"]
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("row"))).filter("_k = 1").drop("_k")
+    key = [*EVENT, "round_type", "_name", "time_cs", "category", "rank", "status"]
+    named = rows.withColumn("_name", F.upper("name"))
+    return named.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("row"))).filter("_k = 1").drop("_k").select(*rows.columns)
 
 
 def without_general_lists(rows: DataFrame) -> DataFrame:
     """Without rows of no category whose swim (name and time) stands under a category of the same event and round, too."""
-    aged = rows.filter("category != ''").select(*EVENT, "round_type", F.upper("name").alias("_name"), "time_cs").distinct()
-    general, own = rows.filter("category = ''").withColumn("_name", F.upper("name")), rows.filter("category != ''")
-    return own.unionByName(general.join(aged, [*EVENT, "round_type", "_name", "time_cs"], "left_anti").select(*rows.columns))
+    swim = [*EVENT, "round_type", "_name", "time_cs"]
+    named = rows.filter("category is not null").withColumn("_name", F.upper("name"))
+    aged = named.withColumn("_aged", F.bool_or(F.col("category") != "").over(Window.partitionBy(*swim)))
+    return aged.filter((F.col("category") != "") | ~(F.col("_aged") & known(*swim))).select(*rows.columns)
 
 
 def with_finals(rows: DataFrame) -> DataFrame:
@@ -36,23 +45,31 @@ def with_finals(rows: DataFrame) -> DataFrame:
     return rows.withColumn("round_type", F.when(alone, "Finals").otherwise(F.col("round_type")))
 
 
+def with_overlap(rows: DataFrame) -> DataFrame:
+    """Rows with ``_heat``, whether they are of heats of an event with finals, and ``_shared``, whether name and time stand in the finals."""
+    final = lambda *keys: F.coalesce(F.bool_or(F.col("round_type") == "Finals").over(Window.partitionBy(*keys)), F.lit(False)) & known(*keys)
+    heat = F.coalesce(F.col("round_type").isin(*HEATS), F.lit(False))
+    return rows.withColumn("_heat", heat & final(*EVENT)).withColumn("_shared", final(*EVENT, "name", "time_cs"))
+
+
 def heat_overlap(rows: DataFrame, least: float = 0.8) -> DataFrame:
     """Per heats of an event with finals: results, how many of them (name and time) stand in the finals, and whether so many that they are the same list."""
-    finals = rows.filter("round_type = 'Finals'").select(*EVENT, "name", "time_cs").distinct().withColumn("_final", F.lit(True))
-    held = rows.filter(F.col("round_type").isin(*HEATS)).join(finals.select(*EVENT).distinct(), EVENT, "left_semi")
-    n = held.join(finals, [*EVENT, "name", "time_cs"], "left").groupBy(*EVENT, "round_type", "category").agg(F.count("*").alias("heats"), F.count_if("_final").alias("shared"))
+    held = with_overlap(rows).filter("_heat")
+    n = held.groupBy(*EVENT, "round_type", "category").agg(F.count("*").alias("heats"), F.count_if("_shared").alias("shared"))
     return n.withColumn("repeated", F.col("shared") >= least * F.col("heats"))
 
 
 def without_repeated_heats(rows: DataFrame, least: float = 0.8) -> DataFrame:
     """Without heats that ``heat_overlap`` calls repeated; heats with other swims stay."""
-    gone = heat_overlap(rows, least).filter("repeated").select(*EVENT, "round_type", "category")
-    return rows.join(gone, [*EVENT, "round_type", "category"], "left_anti").select(*rows.columns)
+    heats = Window.partitionBy(*EVENT, "round_type", "category")
+    repeated = F.count_if("_shared").over(heats) >= least * F.count("*").over(heats)
+    told = with_overlap(rows).withColumn("_gone", F.col("_heat") & F.col("category").isNotNull() & repeated)
+    return told.filter("not _gone").select(*rows.columns)
 
 
 def cleaned_meet(rows: DataFrame) -> DataFrame:
-    """All of it in order: repeats, general lists, lone heats, repeated heats."""
-    return without_repeated_heats(with_finals(without_general_lists(without_repeats(rows))))
+    """All of it in order: repeats, general lists, lone heats, repeated heats. Each is told by windows within an event, so rows are read and dealt once."""
+    return without_repeated_heats(with_finals(without_general_lists(without_repeats(rows.repartition(*EVENT)))))
 
 
 def conflict_days(results: DataFrame) -> DataFrame:

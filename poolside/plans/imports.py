@@ -95,10 +95,15 @@ def ruled_out(m: Meets) -> DataFrame:
 def read_meets(m: Meets) -> DataFrame:
     """Swims as a reader may give them: with lists over all categories, and in every fifth meet heats printed as finals once more."""
     base = m.swims.groupBy("meet_id", "event_id", "sex", "round_type", "category", F.col("swimmer").alias("name"), "time_cs", (F.col("swimmer_id") % 3).alias("k")).agg(F.lit("OK").alias("status"))
-    general = base.filter("k = 0").withColumn("category", F.lit(""))
-    repeats = base.filter("meet_id % 5 = 0 and round_type = 'Prelims'").withColumn("round_type", F.lit("Finals"))
-    rows = base.filter("not (meet_id % 5 = 0 and round_type = 'Finals')").unionByName(general).unionByName(repeats)
-    return rows.drop("k").withColumns({"rank": F.lit(1), "row": F.col("time_cs")})
+    # a row is written as it stands, in the general list, and as a final once more
+    again = F.col("meet_id") % 5 == 0
+    as_read = lambda when, round_type, category: F.when(when, F.struct(round_type.alias("round_type"), category.alias("category")))
+    own = as_read(~F.coalesce(again & (F.col("round_type") == "Finals"), F.lit(True)), F.col("round_type"), F.col("category"))
+    general = as_read(F.col("k") == 0, F.col("round_type"), F.lit(""))
+    repeat = as_read(again & (F.col("round_type") == "Prelims"), F.lit("Finals"), F.col("category"))
+    rows = base.select("meet_id", "event_id", "sex", "name", "time_cs", "status", F.explode(F.array_compact(F.array(own, general, repeat))).alias("r"))
+    rows = rows.select("meet_id", "event_id", "sex", "r.round_type", "r.category", "name", "time_cs", "status")
+    return rows.withColumns({"rank": F.lit(1), "row": F.col("time_cs")})
 
 
 def cleaned(m: Meets) -> DataFrame:

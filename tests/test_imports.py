@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolside.functions import events, resolve, written
-from poolside.operators import importing, similar
+from poolside.operators import importing, meet_cleanup, similar
 from poolside.plans import matching
 from poolside.sources import books
 
@@ -223,3 +223,19 @@ def test_new_swimmers_are_known_to_later_meets(spark):
 def test_empty_batch(spark):
     swimmers, results, log = run(spark, [])
     assert (swimmers, results, log) == ([], [], {})
+
+
+def test_cleaned_meet_deals_rows_once(spark):
+    """Steps are told by windows within an event: rows are read and shuffled once. Null keys are equal to nothing."""
+    rows = [
+        (1, 1, "M", "Prelims", "Cadets", "Ali", 5000, "OK"), (1, 1, "M", "Prelims", "Cadets", "ALI", 5000, "OK"), (1, 1, "M", "Prelims", "", "ali", 5000, "OK"), (1, 1, "M", "Prelims", "", "Sami", 5100, "OK"),
+        (1, 1, "M", "Finals", "Cadets", "Ali", 5000, "OK"), (1, 2, "M", "Prelims", "", None, 5000, "OK"), (1, 2, "M", "Prelims", "Cadets", None, 5000, "OK"), (2, 2, None, "Prelims", "", "Ali", 5000, "OK"), (2, 2, "M", "Prelims", None, "Ali", 5000, "OK"),
+    ]
+    meets = spark.createDataFrame([(*r, i, 1) for i, r in enumerate(rows)], "meet_id int, event_id int, sex string, round_type string, category string, name string, time_cs long, status string, row int, rank int")
+    cleaned = meet_cleanup.cleaned_meet(meets)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Scan ExistingRDD") == 1
+    got = sorted((r["row"], r["round_type"]) for r in cleaned.collect())
+    assert got == [(3, "Prelims"), (4, "Finals"), (5, "Finals"), (6, "Finals"), (7, "Finals")]
+    told = [tuple(r) for r in meet_cleanup.heat_overlap(meets.filter("row < 6")).orderBy("category").collect()]
+    assert told == [(1, 1, "M", "Prelims", "", 2, 0, False), (1, 1, "M", "Prelims", "Cadets", 2, 1, False)]
