@@ -1,5 +1,9 @@
 """Scalar functions against tables of expected values."""
 
+import random
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +118,27 @@ def test_laps(spark, texts, metres, expected):
 def test_relay_legs_text(spark):
     got = value(spark, written.relay_legs(F.array(F.lit("Ali TAMER SAYED 0:50.38"), F.lit(" Sami 49.10 "), F.lit("No Time"), F.lit(""))))
     assert [tuple(r) for r in got] == [("Ali TAMER SAYED", 5038), ("Sami", 4910), ("No Time", 0), ("", 0)]
+
+
+def test_splits_of_a_batch():
+    """A batch's splits, read at once, against the rule word by word on random texts; null lists and sliced batches."""
+    time, pick = r"(?:\d{1,2}:)?\d{1,2}\.\d{2}", random.Random(11).choice
+
+    def rule(texts, metres):
+        read = []
+        for t in texts:
+            words = re.split(r"[ \t-\r]+", re.sub(r"(\d)[ \t-\r]+m\b", r"\1m", (t or "").replace("m:", "m "), flags=re.ASCII))
+            words = [w for w in (re.sub(r"^[(:]+|[):]+$", "", w) for w in words) if w]
+            swum = [w for w in words if re.fullmatch(time, w)]
+            if len(swum) == 1 and len(words) <= 2 and all(re.fullmatch(time + r"|\d{2,4}m", w) for w in words):
+                minutes, _, seconds = swum[0].rpartition(":")
+                place = next((int(w[:-1]) for w in words if w.endswith("m")), None)
+                read.append((place, int(minutes or 0) * 6000 + int(seconds.replace(".", ""))))
+        return [(metres * (i + 1) // len(read) if p is None and (metres or 0) > 0 and metres % len(read) == 0 else p, cs) for i, (p, cs) in enumerate(read)]
+
+    pieces = ("50m", "100 m", "50", "m", "25.77", "1:06.56", "(", ")", ":", " ", "  ", "\t", "x", "25.7", "8m", "é", "")
+    lists = [None if pick(range(20)) == 0 else [None if pick(range(20)) == 0 else "".join(pick(pieces) for _ in range(pick(range(7)))) for _ in range(pick(range(5)))] for _ in range(4000)]
+    metres = [pick((None, 0, 50, 100, 400)) for _ in lists]
+    for first in (0, 7):
+        got = written.batch_splits(pa.array(lists, pa.list_(pa.string()))[first:], pa.array(metres, pa.int32())[first:]).to_pylist()
+        assert [x and [(s["distance"], s["time_cs"]) for s in x] for x in got] == [x and rule(x, m) for x, m in zip(lists[first:], metres[first:])]
