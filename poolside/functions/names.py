@@ -23,7 +23,9 @@ def team_key(name: Column) -> Column:
     # each step that changes anything takes a word at least
     stripped = lambda k: F.aggregate(F.sequence(F.lit(1), F.size(F.split(k, " "))), k, step)
     key = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), PUNCTUATION, " ")), r"\s+", " "))
-    return once(key, lambda k: F.when(k.rlike("|".join(SUFFIXES)), stripped(k)).otherwise(k))
+    # without the word team the letters and numbers at the end go at once
+    plain = lambda k: F.regexp_replace(k, r"(?:\s+(?:[a-d]|\d{1,2}))+$", "")
+    return once(key, lambda k: F.when(~F.contains(k, F.lit("team")), plain(k)).when(k.rlike("|".join(SUFFIXES)), stripped(k)).otherwise(k))
 
 
 def strip_squad_number(name: Column) -> Column:

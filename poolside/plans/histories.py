@@ -38,8 +38,8 @@ def club_medals(m: Meets) -> DataFrame:
 def with_home(swims: DataFrame) -> DataFrame:
     """Swims with their club's key and the swimmer's home club: that of the latest meet, of several the first by name."""
     keyed = swims.withColumn("club", team_key(F.col("team")))
-    home = keyed.groupBy("swimmer_id").agg(F.min_by("club", F.struct(-F.unix_date("date"), F.col("club"))).alias("home"))
-    return keyed.join(home, "swimmer_id")
+    home = F.min_by("club", F.struct(-F.unix_date("date"), F.col("club"))).over(Window.partitionBy("swimmer_id"))
+    return keyed.filter("swimmer_id is not null").withColumn("home", home)
 
 
 def club_times(swims: DataFrame) -> DataFrame:

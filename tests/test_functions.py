@@ -142,3 +142,22 @@ def test_splits_of_a_batch():
     for first in (0, 7):
         got = written.batch_splits(pa.array(lists, pa.list_(pa.string()))[first:], pa.array(metres, pa.int32())[first:]).to_pylist()
         assert [x and [(s["distance"], s["time_cs"]) for s in x] for x in got] == [x and rule(x, m) for x, m in zip(lists[first:], metres[first:])]
+
+
+def test_team_key_of_random_texts(spark):
+    """Letters and numbers that go at once, against the removal of one suffix after the other."""
+
+    def rule(name):
+        key = re.sub(r"[ \t-\r]+", " ", re.sub(names.PUNCTUATION, " ", name, flags=re.ASCII).lower()).strip(" ")
+        before = None
+        while key != before:
+            before = key
+            for suffix in names.SUFFIXES:
+                key = re.sub(suffix, "", key, flags=re.ASCII).strip(" ")
+        return key
+
+    pick = random.Random(14).choice
+    pieces = ("a", "B", "e", "7", "12", "123", "team", "Team", "national", "club", "ab", "-", "(a)", "")
+    texts = [" ".join(pick(pieces) for _ in range(pick(range(8)))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", names.team_key(F.col("t")).alias("k")).collect()
+    assert [(r["t"], r["k"]) for r in got if r["k"] != rule(r["t"])] == []
