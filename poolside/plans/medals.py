@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolside.functions.names import team_key
+from poolside.sources.tables import held
 from poolside.sources.tpch import Meets
 
 GROUP = ["meet_id", "event_id", "sex", "category"]
@@ -57,6 +58,11 @@ def medals_of(m: Meets) -> DataFrame:
     return award(with_source_rank(m.swims).select(*columns))
 
 
+def medals_with_legs(m: Meets) -> DataFrame:
+    """``with_legs`` of the medals of all meets. Medals are read four times there, so they are ranked once and held."""
+    return with_legs(held(medals_of(m)), m.swimmers)
+
+
 def tally(*keys: str):
     """Counts by medal and in all."""
 
@@ -69,7 +75,7 @@ def tally(*keys: str):
 
 def individual(m: Meets) -> DataFrame:
     """Medals that count in tables: athletes' and squads' without a known athlete; Arab countries."""
-    return with_legs(medals_of(m), m.swimmers).filter("not matched and region != 'OTHER'")
+    return medals_with_legs(m).filter("not matched and region != 'OTHER'")
 
 
 def club_summary(m: Meets) -> DataFrame:
@@ -81,7 +87,7 @@ def club_summary(m: Meets) -> DataFrame:
 
 
 QUERIES = {
-    "qy06_medals": lambda m: with_legs(medals_of(m), m.swimmers).select(*GROUP, "swimmer_id", "medal", "time_cs", "is_relay_team", "matched"),
+    "qy06_medals": lambda m: medals_with_legs(m).select(*GROUP, "swimmer_id", "medal", "time_cs", "is_relay_team", "matched"),
     "qy07_medal_table": lambda m: tally("country")(individual(m)),
     "qy08_swimmer_medals": lambda m: tally("swimmer_id")(individual(m)).orderBy(F.desc("gold"), F.desc("silver"), F.desc("bronze"), "swimmer_id").limit(10),
     "qy09_club_medals": club_summary,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from poolside import plans
 from poolside.operators import filters, ranking
-from poolside.plans import medals, swimmers, teams
+from poolside.plans import histories, medals, swimmers, teams
 from poolside.sources import tpch
 
 SMALL = "/root/testdata/sf0.001"
@@ -165,3 +165,18 @@ def test_tables(spark):
     people = spark.createDataFrame([(1, "", 2001), (2, "Club", 1999)], "id int, club string, year int")
     merges = spark.createDataFrame([(2, 1)], "old int, kept int")
     assert [tuple(r) for r in tables.merged_rows(people, "id", merges, ["club"]).collect()] == [(1, "Club", 2001)]
+
+
+def test_home_clubs_read_swims_once(spark):
+    """A swimmer's home club comes from a window, not from a second reading of all swims; equal days go by name."""
+    day = datetime.date(2020, 1, 1)
+    rows = [(1, "B 2", day), (1, "a", day), (1, "c", day - datetime.timedelta(1)), (2, "c", None)]
+    homes = histories.with_home(spark.createDataFrame(rows, "swimmer_id long, team string, date date"))
+    assert homes._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert sorted((r["swimmer_id"], r["club"], r["home"]) for r in homes.collect()) == [(1, "a", "a"), (1, "b", "a"), (1, "c", "a"), (2, "c", "c")]
+
+
+def test_medals_are_ranked_once(spark):
+    """Medals are held, so what reads them doesn't rank all swims again."""
+    plan = medals.individual(tpch.Meets(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan and "Window" not in plan
