@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import time
 import zlib
 from pathlib import Path
 
@@ -148,3 +149,25 @@ def test_values_of_searches_and_packing(spark):
     assert not {r["query_id"] for r in found} & {2, 3, 4, None}
     packed = [r for r in packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect() if r["doc_id"] in (2, 3)]
     assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed] == [(0, 0, 1, zlib.crc32(bytes(4)))] * 2
+
+
+def shuffled_files(spark):
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_dedup_leaves_two_tables_and_no_shuffles(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    df = spark.createDataFrame([(1, text), (2, "x " + text), (3, "y")], "doc_id long, text string")
+    root = Path(common.shared_dir(spark).removeprefix("file:"))
+    before, shuffled = set(root.glob("staged-*")), shuffled_files(spark)
+    out = substring_dedup.dedup_digests(df)
+    left = set(root.glob("staged-*")) - before
+    assert len(left) == 2, left  # decisions and hit
+    for _ in range(100):  # Spark removes them in the background
+        if not (more := shuffled_files(spark) - shuffled):
+            break
+        time.sleep(0.1)
+    assert not more
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(1, 0), (2, 90), (3, 0)]
+    assert spark.conf.get(common.CLEANUP) == "false"
