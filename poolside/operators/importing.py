@@ -79,7 +79,8 @@ def candidates(asked: DataFrame, swimmers: DataFrame, results: DataFrame) -> Dat
     names are summed up to their years and clubs before the join, but for identities that ask by band.
     """
     keys = F.array(F.lower("name"), match_key(F.col("name")), sorted_key(F.col("name")))
-    profiles = swimmers.filter("not is_relay_team").select("swimmer_id", known_year(F.col("birth_year")).alias("has_year"), F.coalesce("club", F.lit("")).alias("has_club"), F.posexplode(keys).alias("tier", "key"))
+    # held, as the years, clubs and first ones of a name read them, and words of names take long
+    profiles = held(swimmers.filter("not is_relay_team").select("swimmer_id", known_year(F.col("birth_year")).alias("has_year"), F.coalesce("club", F.lit("")).alias("has_club"), F.posexplode(keys).alias("tier", "key")))
     asks = asked.select("ask", "year", "band", "club", "date", F.posexplode(keys).alias("tier", "key"))
     years = profiles.groupBy("tier", "key", "has_year").agg(F.min("swimmer_id").alias("first_id"), F.count("*").alias("n"))
     found = asks.filter("year is not null").join(years, ["tier", "key"])
@@ -209,7 +210,7 @@ def resolved(rows: DataFrame, swimmers: DataFrame, results: DataFrame) -> DataFr
     named = rows.filter(F.trim("name") != "")
     one = named.groupBy(*WHO, "identity").agg(F.min("date").alias("date"), F.min("row").alias("at"), *[F.min_by(c, "row").alias(c) for c in ("name", "year", "club", "band")], F.collect_set("band").alias("bands"))
     one = one.withColumn("ask", F.xxhash64("upper_name", "meet_id", "identity").bitwiseAND((1 << 61) - 1).bitwiseOR(1 << 61))
-    one = one.withColumns({"words": sorted_key(F.col("name")), "key": match_key(F.col("name")), "club": F.upper(F.trim(F.coalesce("club", F.lit(""))))})
+    one = held(one.withColumns({"words": sorted_key(F.col("name")), "key": match_key(F.col("name")), "club": F.upper(F.trim(F.coalesce("club", F.lit(""))))}))
     asked = one.join(candidates(one, swimmers, results).drop("n_exact"), "ask", "left").select(*ASKED, "at")
 
     def run(batches):
@@ -340,7 +341,8 @@ def import_results(parsed: DataFrame, swimmers: DataFrame, results: DataFrame) -
     Results of meets that the batch doesn't touch are passed on as they are.
     """
     parsed = held(parsed)
-    individual = held(resolved(identities(parsed.filter("not is_relay")), swimmers, results))
+    # each step that several later ones read is held, so that none is computed for each of its readers
+    individual = held(resolved(held(identities(parsed.filter("not is_relay"))), swimmers, results))
     relay = held(squads(parsed.filter("is_relay"), swimmers))
     first = lambda df, key: df.filter("match = 'new'").groupBy("swimmer_id").agg(*[F.min(c).alias(c) for c in ("date", "meet_id", "row")], *[F.min_by(c, F.struct("date", "meet_id", "row")).alias(c) for c in key])
     people = first(individual, ("name", "year", "club", "sex")).select("swimmer_id", "date", "meet_id", "row", "name", F.col("year").alias("birth_year"), "club", "sex", F.lit(False).alias("is_relay_team"))

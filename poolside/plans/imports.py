@@ -51,10 +51,12 @@ def batch(m: Meets) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of a batch under written names, a little faster or slower than what is stored; swimmers, of whom one in four isn't known; stored results."""
     i = F.col("swimmer_id")
     people = m.swimmers.filter("not is_relay_team").select("swimmer_id", F.col("swimmer").alias("name"), F.coalesce("birth_year", F.lit(1985)).cast("int").alias("birth_year"), club_of(i).alias("club"), "sex")
-    swims = m.swims.filter("not is_relay_team").groupBy(*RESULT, "time_cs", "date").agg(F.count("*").alias("n"))
-    stored = swims.filter((F.col("meet_id") <= STORED) & (i % 4 != 0)).groupBy(*RESULT, "date").agg(F.min("time_cs").alias("time_cs"))
+    is_stored, is_new = (F.col("meet_id") <= STORED) & (i % 4 != 0), F.col("meet_id").between(*BATCH)
+    # read twice, and made of all lines
+    swims = held(m.swims.filter("not is_relay_team").filter(is_stored | is_new).select(*RESULT, "time_cs", "date").distinct())
+    stored = swims.filter(is_stored).groupBy(*RESULT, "date").agg(F.min("time_cs").alias("time_cs"))
     results = stored.select(*RESULT, F.lit("").alias("team"), "time_cs", F.lit(0).alias("rank"), (F.col("time_cs") % 1000).cast("int").alias("points"), "date")
-    again = swims.filter(F.col("meet_id").between(*BATCH)).join(people, "swimmer_id")
+    again = swims.filter(is_new).join(people, "swimmer_id")
     row = (((i * 32 + F.col("event_id")) * 4 + number("round_type", ROUND_NO)) * 8 + number("category", CATEGORY_NO)) * (1 << 20) + F.col("time_cs")
     time = F.col("time_cs") + F.when(i % 2 == 0, -10).otherwise(10)
     rows = again.select(

@@ -225,6 +225,21 @@ def test_empty_batch(spark):
     assert (swimmers, results, log) == ([], [], {})
 
 
+def test_import_reads_profiles_once(spark):
+    swimmers, results = tables(spark, [(1, "Dora BUKLU", 2001, "Tunis", "F", False), (2, "Maha AL SHEHHI", None, "Oran", "F", False)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(name):
+        seen.add(1)
+        return name
+
+    rows = parsed(spark, [("DORA BUKLU", 2001, "Tunis", "", 6000), ("maha al shehhi", 0, "Oran", "", 6100)])
+    out = importing.import_results(rows, swimmers.withColumn("name", F.udf(read, "string")("name")), results)
+    # three keys of a name, whatever is asked for by year, club or band
+    assert 0 < seen.value <= 3 * swimmers.count()
+    assert sorted(r["match"] for r in out["log"].collect()) == ["exact", "exact"]
+
+
 def test_cleaned_meet_deals_rows_once(spark):
     """Steps are told by windows within an event: rows are read and shuffled once. Null keys are equal to nothing."""
     rows = [
