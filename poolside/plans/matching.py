@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolside.functions import resolve
+from poolside.functions import bound, resolve
 from poolside.functions.names import team_key
 from poolside.functions.times import format_centiseconds
 from poolside.operators.importing import match_profiles
 from poolside.plans.rankings import TIME
+from poolside.sources.tables import held
 from poolside.sources.tpch import Meets, sql_text
 
 
@@ -118,11 +119,15 @@ def event_names(m: Meets) -> DataFrame:
 
 def read_back(m: Meets) -> DataFrame:
     """Times, dates and texts as sources write them, read again."""
-    rows = m.swims.select("time_cs", "date", "team").distinct()
-    day = F.when(F.month("date") % 2 == 0, F.date_format("date", "d.M.yyyy")).otherwise(F.date_format("date", "yyyy/MM/dd"))
-    untidy = F.concat(F.lit("  "), F.replace("team", F.lit("#"), F.lit("  # ")), F.lit("\t"))
-    text = format_centiseconds(F.col("time_cs"))
-    return rows.select("time_cs", "date", resolve.strict_centiseconds(text).alias("read_cs"), resolve.strict_centiseconds(F.substring(text, F.lit(1), F.length(text) - 1)).alias("short_cs"), resolve.iso_date(day).alias("read_date"), resolve.clean_text(untidy).alias("text"), F.size(resolve.parts_of(F.concat_ws(",", "team", F.lit(" "), text))).cast("long").alias("parts"))
+    rows = held(m.swims.select("time_cs", "date", "team").distinct())
+    # the same times and days come back in many rows, so each is written and read once
+    time, day = format_centiseconds(F.col("time_cs")), F.when(F.month("date") % 2 == 0, F.date_format("date", "d.M.yyyy")).otherwise(F.date_format("date", "yyyy/MM/dd"))
+    times = bound(rows.select("time_cs").distinct(), F.col("time_cs").alias("cs"), time.alias("time"))
+    times = times.select("cs", "time", resolve.strict_centiseconds(F.col("time")).alias("read_cs"), resolve.strict_centiseconds(F.substring("time", F.lit(1), F.length("time") - 1)).alias("short_cs"))
+    days = bound(rows.select("date").distinct(), F.col("date").alias("on"), day.alias("day")).select("on", resolve.iso_date(F.col("day")).alias("read_date"))
+    full = rows.join(times, F.col("time_cs").eqNullSafe(F.col("cs"))).join(days, F.col("date").eqNullSafe(F.col("on")))
+    untidy = F.concat(F.lit("  "), F.replace("team", F.lit("#"), F.lit("  # ")), F.lit("\t"))
+    return full.select("time_cs", "date", "read_cs", "short_cs", "read_date", resolve.clean_text(untidy).alias("text"), F.size(resolve.parts_of(F.concat_ws(",", "team", F.lit(" "), "time"))).cast("long").alias("parts"))
 
 
 QUERIES = {

@@ -180,3 +180,8 @@ def test_medals_are_ranked_once(spark):
     """Medals are held, so what reads them doesn't rank all swims again."""
     plan = medals.individual(tpch.Meets(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan and "Window" not in plan
+
+
+def test_read_back_writes_once(spark):
+    plan = plans.queries()["sc05_read_back"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") == 2 and plan.count("% 6000") <= 6  # the forms of a day, the parts of a time
