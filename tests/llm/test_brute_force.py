@@ -634,6 +634,25 @@ def test_webp_round_trips():
     assert len(webp.near_pixels()) == 120 and webp.near_pixels()[:6] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0)]
 
 
+def test_webp_stores_with_references(monkeypatch):
+    """Stored texts repeat what stands before by references, have a palette or a prediction where that is smaller, and are read back by either reader."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(2, 9, 300)]
+    prose = b" ".join(words[i] for i in rng.integers(0, 300, 9000))
+    steps = np.cumsum(rng.integers(0, 3, 64 * 200)).astype(np.uint8).tobytes()
+    datas = [x + bytes(-len(x) % webp.ROW) for x in (prose, b"One line of it. " * 900, b"\0" * 64, b"ab" * 320, rng.choice(list(b"no"), 6400, p=[0.1, 0.9]).astype(np.uint8).tobytes(), steps, rng.bytes(9000), b"x" * 70000)]
+    medias = webp.stored(datas)
+    assert medias == [webp.store(d) for d in datas] and [s.tobytes() for s in webp.samples_of(medias)] == datas
+    kinds = [[k for k, *_ in webp.Image(webp.files_of(m)[0]).transforms] for m in medias]
+    assert kinds[0] == [webp.SUBTRACT_GREEN] and kinds[4] == [webp.PALETTE] and kinds[5] == [webp.SUBTRACT_GREEN, webp.PREDICTOR]
+    # literals alone take over four bits a letter of this prose, and a bit a sample of what repeats
+    assert len(medias[0]) < 0.75 * len(datas[0]) * 4.5 / 8 and len(medias[1]) < 300 and len(medias[7]) < 300
+    together, alone = webp.decode([f for m in medias for f in webp.files_of(m)]), []
+    monkeypatch.setattr(webp, "SHORT", 0)  # so that each file is read pixel by pixel
+    alone = webp.decode([f for m in medias for f in webp.files_of(m)])
+    assert all((a == b).all() for a, b in zip(together, alone, strict=True))
+
+
 def test_media_columns(docs):
     rows, df = docs
     for r in webp.media_digests(df).collect():
