@@ -158,3 +158,21 @@ def test_pools_and_countries(spark):
     times = [(1499, 50, False, False), (1500, 50, True, True), (21999, 400, False, True), (2000, 1500, False, False), (0, 100, True, True), (2000, 0, True, True), (18001, 50, True, False)]
     df = spark.createDataFrame([(i, *t) for i, t in enumerate(times)], "i int, t long, d int, p boolean, b boolean")
     assert [r["i"] for r in df.filter((headings.plausible(F.col("t"), F.col("d")) != F.col("p")) | (headings.in_bounds(F.col("t"), F.col("d")) != F.col("b"))).collect()] == []
+
+
+def test_notes_are_written_from_held_rows(spark, monkeypatch):
+    """Which books there are comes from the rows that are held, so swims are computed once for the sheet of individual results and the notes."""
+    from types import SimpleNamespace
+
+    from poolside.plans import sheets as plan
+
+    swims = spark.createDataFrame(
+        [(b, "50 M Freestyle", "F", "Finals", "Open", f"Customer#{k}", 1990, 3000 + k, k, relay, "2000-01-01", "LCM") for b, k, relay in ((1, 1, False), (1, 2, False), (2, 3, False), (3, 37, True), (None, 4, False))],
+        "meet_id int, event string, sex string, round_type string, category string, swimmer string, birth_year int, time_cs long, swimmer_id long, is_relay_team boolean, date string, pool string",
+    )
+    plans, held = [], plan.held
+    monkeypatch.setattr(plan, "held", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), held(df))[1])
+    rows = plan.workbooks(SimpleNamespace(swims=swims.withColumn("date", F.to_date("date"))), 0, 2).collect()
+    assert ["LogicalRDD" in p for p in plans] == [True, False]
+    assert sorted((str(r["book"]), r["sheet"]) for r in rows if r["row"] == 0 and r["sheet"] == "Notes") == [("1", "Notes"), ("2", "Notes"), ("None", "Notes")]
+    assert len([r for r in rows if r["sheet"] == "Individual"]) == 6 + 2 + 2
